@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_rules, token_counts, warc
+from . import license_scan, near_dedup, quality_rules, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": license_scan.op7_license_scan,
 }
@@ -18,4 +19,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op3_quality_rules": quality_rules.SQL,
+    "op5_minhash_near_dedup": near_dedup.SQL,
 }
