@@ -151,3 +151,34 @@ def minimizers(values: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
     pad = np.zeros(width - 1, np.uint64)
     best = sliding(np.concatenate([pad, low, pad]), width, np.maximum)
     return np.flatnonzero((best == values) & (best > 0))
+
+
+class Bloom:
+    """A set of 64-bit hashes in a fixed number of bits; may answer yes wrongly (about 1 %)."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.bits = max(10, int(10 * max(1, len(hashes))).bit_length())
+        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
+        for at in self._at(hashes):
+            np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def _at(self, hashes: np.ndarray) -> list[np.ndarray]:
+        return [mix(hashes * k) >> np.uint64(64 - self.bits) for k in keys(4, 41)]
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(hashes), bool)
+        for at in self._at(hashes):
+            yes &= (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+        return yes
+
+
+def rows_of_bytes(matrix: np.ndarray) -> pa.Array:
+    """Each row of a byte matrix as a binary value."""
+    n, width = matrix.shape
+    offsets = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(matrix).tobytes())])
+
+
+def bytes_of_rows(column: pa.Array, width: int) -> np.ndarray:
+    """The inverse of rows_of_bytes."""
+    return np.frombuffer(text_bytes(column)[0], np.uint8).reshape(-1, width)
