@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text_arrays import Bloom
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +50,24 @@ def as_documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def bloom_of(hashes: DataFrame, n: int) -> Bloom:
+    """A Bloom filter of the only, long column of hashes, for about n of them.
+
+    Tasks turn hashes into table cells, Spark merges the cells; the driver gets the
+    finished table (ten bits for each of n), never the hashes.
+    """
+    bloom = Bloom(n)
+
+    def cells(batches):
+        for batch in batches:
+            at, bits = bloom.cells(batch.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(bits.view(np.int64))], ["cell", "bits"])
+
+    found = hashes.mapInArrow(cells, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bloom.table[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bloom
+
+
 def groups(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the least node it reaches.
 

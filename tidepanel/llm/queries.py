@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, quality_rules, token_counts, warc
+from . import license_scan, near_dedup, quality_rules, substring_dedup, suffix_array_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -14,10 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": license_scan.op7_license_scan,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_suffix_array_dedup": suffix_array_dedup.op10_suffix_array_dedup,
 }
 
 SQL: dict[str, str] = {
     "op1_warc": warc.SQL,
     "op3_quality_rules": quality_rules.SQL,
     "op5_minhash_near_dedup": near_dedup.SQL,
+    "op8_substring_dedup": substring_dedup.SQL,
 }

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_documents, kept, row_key, table
+from .common import as_documents, bloom_of, kept, row_key, table
 from .text_arrays import Bloom, Words, bytes_of_rows, keys, minimizers, mix, rows_of_bytes, steps, text_bytes
 
 WINDOW = 13
@@ -217,10 +217,7 @@ def dedup(docs: DataFrame, hot: int = HOT, bloom: int = BLOOM) -> DataFrame:
     shared = kept(found.groupBy("prefix").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), F.count("*").alias("n")).where("low < high").select("prefix", "n"), "prefixes")
     n = shared.count()
     if n <= bloom:
-        import pandas as pd
-
-        parts = [np.asarray(p, np.int64).view(np.uint64) for p in (pd.Series(shared.select("prefix").toPandas()["prefix"], dtype="int64"),)]
-        run = _suffixes(Bloom(np.concatenate(parts)))
+        run = _suffixes(bloom_of(shared.select("prefix"), n))
         suffixes = own
     else:
         places = found.join(shared.select("prefix"), "prefix", "left_semi").groupBy("rk").agg(F.collect_list("at").alias("places"))

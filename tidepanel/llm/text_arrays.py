@@ -153,22 +153,39 @@ def minimizers(values: np.ndarray, whole: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero((best == values) & (best > 0))
 
 
+def rolling(data: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n bytes from each place on, where there are n."""
+    part, size, out, done = mix(data.astype(np.uint64) + np.uint64(1)), 1, None, 0
+    by_size = keys(32, 7)
+    while size <= n:
+        if n & size:  # the parts in ascending size, one behind the other
+            out = part if out is None else out[: max(0, len(part) - done)] * by_size[31] + part[done:]
+            done += size
+        part = part[: max(0, len(part) - size)] * by_size[size.bit_length()] + part[size:]
+        size *= 2
+    return mix(out[: max(0, len(data) - n + 1)])
+
+
 class Bloom:
-    """A set of 64-bit hashes in a fixed number of bits; may answer yes wrongly (about 1 %)."""
+    """A set of 64-bit hashes in about ten bits each; may answer yes wrongly (about 1 %)."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.bits = max(10, int(10 * max(1, len(hashes))).bit_length())
-        self.table = np.zeros(1 << (self.bits - 3), np.uint8)
-        for at in self._at(hashes):
-            np.bitwise_or.at(self.table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    def __init__(self, n: int):
+        self.bits = max(10, (10 * max(1, n)).bit_length())
+        self.table = np.zeros(1 << (self.bits - 6), np.uint64)
 
     def _at(self, hashes: np.ndarray) -> list[np.ndarray]:
         return [mix(hashes * k) >> np.uint64(64 - self.bits) for k in keys(4, 41)]
 
+    def cells(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the table and the bits that these hashes set there."""
+        at = np.unique(np.concatenate(self._at(hashes)))
+        cell, first = np.unique(at >> np.uint64(6), return_index=True)
+        return cell, np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+
     def has(self, hashes: np.ndarray) -> np.ndarray:
         yes = np.ones(len(hashes), bool)
         for at in self._at(hashes):
-            yes &= (self.table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+            yes &= (self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return yes
 
 
