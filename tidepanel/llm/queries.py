@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, near_dedup, quality_rules, substring_dedup, suffix_array_dedup, token_counts, warc
+from . import decontaminate, license_scan, line_dedup, near_dedup, quality_rules, substring_dedup, suffix_array_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_suffix_array_dedup": suffix_array_dedup.op10_suffix_array_dedup,
 }
 
@@ -23,4 +25,5 @@ SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.SQL,
     "op5_minhash_near_dedup": near_dedup.SQL,
     "op8_substring_dedup": substring_dedup.SQL,
+    "op9_line_dedup": line_dedup.SQL,
 }
