@@ -13,12 +13,12 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    greatest node, a number of pairs linear in the bucket.
 4. An odd sketch holds the parity of how many MinHash values fall on each of its 512
    bits, so the XOR of two sketches counts the values that differ; pairs whose
-   estimate is more than five standard errors below the threshold go.
+   count lies 4.5 standard errors beyond that of the threshold go, as do those whose
+   set sizes alone rule it out.
 5. What is left is compared by full sets, and links form components.
-6. Where a bucket still holds nodes of different components, the best pair by sketch
-   of each node and foreign component is verified; after that every remaining pair
-   across components whose sketches are close.  Pairs within a component add
-   nothing and are never formed.
+6. Where a bucket still holds nodes of different components, their full sets are
+   joined by prefix filtering, which is exact, across components only.  Pairs within a
+   component add nothing and are never formed.
 
 Every step is a Spark join or aggregate; tables that are used again are written to
 the shared folder.
@@ -46,20 +46,30 @@ from .text_arrays import Words, keys, mix, steps, text_bytes
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 BITS = 512
-#: The threshold in percent, and what MinHash estimates may fall short of it (5 standard errors of 128 values).
+#: The threshold in percent, and by how many standard errors a sketch may miss it.
 LEAST = 75
-MARGIN = 5 * math.sqrt(0.75 * 0.25 / (BANDS * ROWS))
+ERRORS = 4.5
+#: Counts that order shingles for the last step: a fixed table, whatever the corpus.
+CELLS = 1 << 16
 
 _A, _B = (keys(BANDS * ROWS, s).astype(np.uint32) | np.uint32(1) for s in (21, 22))
 _BAND_KEYS = keys(ROWS, 23)
 _SKETCH_KEYS = keys(BANDS * ROWS, 24)
 
 
-def most_bits(similarity: float = LEAST / 100 - MARGIN) -> int:
-    """The greatest XOR population count that an estimated similarity allows, with 3 standard errors of the folding."""
-    apart = 2 * BANDS * ROWS * (1 - similarity)
-    mean = BITS / 2 * (1 - math.exp(-2 * apart / BITS))
-    return math.ceil(mean + 3 * math.sqrt(mean * (1 - mean / BITS)))
+def most_bits(similarity: float = LEAST / 100) -> int:
+    """The greatest XOR population count that a pair at the threshold has but for ERRORS standard errors.
+
+    Each MinHash value that differs puts two elements in the XOR; how many differ and
+    where they fall are independent errors.
+    """
+    k = BANDS * ROWS
+    apart = 2 * k * (1 - similarity)
+    stay = math.exp(-2 * apart / BITS)
+    mean = BITS / 2 * (1 - stay)
+    sampling = stay * 2 * math.sqrt(k * similarity * (1 - similarity))
+    folding = math.sqrt(max(0.0, BITS / 4 * (1 - stay**2) - apart * stay**2))
+    return math.ceil(mean + ERRORS * math.hypot(sampling, folding))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +152,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _close(x: str, y: str) -> Column:
-    """Whether two odd sketches allow the threshold."""
+    """How many bits of two odd sketches differ."""
     return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)))
 
 
@@ -160,9 +170,9 @@ def components(docs: DataFrame) -> DataFrame:
     members = kept(members.join(ends, "bucket"), "buckets")
     stars = members.selectExpr("inline(array(struct(least AS a, node AS b), struct(node AS a, most AS b)))").where("a < b").distinct()
 
-    sketches = signed.select(F.col("doc_id").alias("node"), "sketch")
-    paired = stars.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b")
-    stars = kept(paired.where(_close("x", "y") <= most_bits()).select("a", "b"), "stars")
+    sketches = signed.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
+    paired = stars.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
+    stars = kept(paired.where((_close("x", "y") <= most_bits()) & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b"), "stars")
 
     wanted = members.select("node").distinct()
     texts = as_documents(docs).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
@@ -170,17 +180,10 @@ def components(docs: DataFrame) -> DataFrame:
 
     tested = verified(stars, sets)
     roots = groups(tested.where("linked"))
-    for last in (False, True):
-        across = _across(members, sketches, roots).join(tested, ["a", "b"], "left_anti")
-        if not last:
-            across = across.groupBy("b", "root_a").agg(F.min_by("a", "apart").alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        across = kept(across.select("a", "b").distinct(), "across")
-        if across.isEmpty():
-            break
-        more = verified(across, sets)
-        tested = tested.unionByName(more)
-        if not more.where("linked").isEmpty():
-            roots = groups(tested.where("linked"))
+    across = kept(_across(members, sets, roots).join(tested, ["a", "b"], "left_anti"), "across")
+    if not across.isEmpty():
+        tested = tested.unionByName(verified(across, sets))
+        roots = groups(tested.where("linked"))
 
     # One row for each signature with its component, joined to the copies (a hot signature is one key of a skewed join).
     of = copies.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
@@ -190,20 +193,46 @@ def components(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
 
 
-def _across(members: DataFrame, sketches: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes of one bucket and different components whose sketches are close.
+def _across(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked, of nodes in buckets of several components.
 
-    In each bucket the nodes outside its largest component are paired with all
-    others, so a bucket of one component gives nothing.
+    Prefix filtering: in any fixed order of shingles, the first ones of two near sets
+    have one in common, at places that leave room for enough others.  The order puts
+    shingles of few sets first (by a table of ``CELLS`` counts), so that sets which
+    share a common passage, but not enough else, have nothing in common up front.
     """
     own = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("bucket", "main")
-    mixed = kept(own.join(main, "bucket").join(sketches, "node"), "mixed")
-    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    near = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, near & (_close("x.sketch", "y.sketch") <= most_bits()))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.when(F.col("x.node") < F.col("y.node"), F.col("x.root")).otherwise(F.col("y.root")).alias("root_a"), _close("x.sketch", "y.sketch").alias("apart"))
+    mixed = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
+    mixed = kept(own.join(mixed, "bucket", "left_semi").select("node", "root").distinct(), "mixed")
+    rows = sets.join(mixed, "node").select("node", "root", "set")
+    table = np.zeros(CELLS, np.int64)
+    for cell, n in rows.select("set").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
+        table[cell] = n
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own = np.frombuffer(batch["set"][at].as_py(), np.uint64)
+                n = len(own)
+                probe, index = n - -(-LEAST * n // 100) + 1, n - -(-2 * LEAST * n // (100 + LEAST)) + 1
+                first = own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[:probe]]
+                same = lambda v, kind=pa.int64(), k=probe: pa.array(np.full(k, v), kind)
+                yield pa.RecordBatch.from_arrays([same(batch["node"][at].as_py()), same(batch["root"][at].as_py()), same(n), pa.array(first.view(np.int64)), pa.array(np.arange(probe)), pa.array(np.arange(probe) < index)], ["node", "root", "n", "shingle", "at", "indexed"])
+
+    found = rows.mapInArrow(firsts, "node long, root long, n long, shingle long, at long, indexed boolean")
+    x, y = found.alias("x"), found.where("indexed").alias("y")
+    near = F.expr(f"""x.shingle = y.shingle AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n
+        AND (100 + {LEAST}) * least(x.n - x.at, y.n - y.at) >= {LEAST} * (x.n + y.n)""")
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        data, _ = text_bytes(batch.column(0))
+        total += np.bincount((np.frombuffer(data.tobytes(), np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["cell", "n"])
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
