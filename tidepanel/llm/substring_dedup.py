@@ -17,7 +17,8 @@ to 6 words before it.
    with common-prefix lengths.  A node at depth 13 - k with k equal words before it
    is a repeat of 13 words (the deep nodes; equal words on the left extend them to
    the maximal repeat).  Its occurrences other than in its least doc_id are removed.
-3. A prefix with more than ``HOT`` suffixes is split by longer prefixes, at once to
+   Equal suffixes of a batch of texts travel as one row with all their places.
+3. A prefix with more than ``HOT`` rows is split by longer prefixes, at once to
    the full 13 words: its windows are grouped by Spark, with partial minima, and
    joined back, so no task gathers them.
 4. Exact copies of a smaller doc_id's text are removed whole without any of this.
@@ -43,12 +44,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_documents, bloom_of, kept, row_key, table
-from .text_arrays import Bloom, Words, bytes_of_rows, keys, minimizers, mix, rows_of_bytes, steps, text_bytes
+from .text_arrays import Bloom, Words, bytes_of_rows, equal_rows, keys, minimizers, mix, rows_of_bytes, runs, steps, text_bytes
 
 WINDOW = 13
 PREFIX = 7
 SIDE = WINDOW - PREFIX
-HOT = 20_000
+HOT = 50_000
 BLOOM = 16_000_000
 #: Suffixes that a task's trees hold at a time, unless a single prefix has more (HOT at most).
 TREE = 100_000
@@ -99,13 +100,43 @@ def _suffixes(bloom: Bloom | None):
                     at = at[bloom.has(prefix[at])]
                 else:
                     at = np.array([words.first[i] + p for i, places in enumerate(part["places"].to_pylist()) for p in places], np.int64)
-                of = words.text_of()[at]
-                take = lambda c: part[c].take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(prefix[at].view(np.int64)), take("ord"), take("rk"), pa.array(at - words.first[of], pa.int32()), rows_of_bytes(_contexts(words, at))], ["prefix", "ord", "rk", "at", "context"])
+                yield _rows(words, prefix[at], at, part)
 
     return run
 
 
+def _rows(words: Words, prefix: np.ndarray, at: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+    """A row for each distinct (prefix, context), with all its places."""
+    of, context = words.text_of()[at], _contexts(words, at)
+    whole = prefix.copy()
+    for column in np.ascontiguousarray(np.pad(context, ((0, 0), (0, -_WIDTH % 8)))).view(np.uint64).T:
+        whole = mix(whole * keys(1, 54)[0] + column)
+    order, begins = equal_rows(whole)
+    one, lists, of = order[begins[:-1]], pa.array(begins, pa.int32()), of[order]
+    places = [part["ord"].take(pa.array(of)), part["rk"].take(pa.array(of)), pa.array(at[order] - words.first[of], pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array(prefix[one].view(np.int64)), rows_of_bytes(context[one]), *(pa.ListArray.from_arrays(lists, p) for p in places)], ["prefix", "context", "ords", "rks", "ats"])
+
+
+SUFFIXES = "prefix long, context binary, ords array<long>, rks array<long>, ats array<int>"
+
+
+def _places(rows: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """ords, rks and ats of all places, the row of each, and each row's least ord."""
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows["ords"], rows["rks"], rows["ats"])]
+    ords, rks, ats = (x.flatten() for x in lists)
+    ords, size = ords.to_numpy(), np.diff(lists[0].offsets.to_numpy())
+    return ords, rks, ats.to_numpy(), np.repeat(np.arange(len(size)), size), np.minimum.reduceat(ords, np.cumsum(size) - size)
+
+
+def _spans(least: np.ndarray, ords: np.ndarray, rks: pa.Array, ats: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    """Spans of windows that start in a smaller doc_id too; least: that doc_id, by row and words before the anchor."""
+    place, first, last = runs(ords[:, None] > least[row])
+    return pa.RecordBatch.from_arrays([rks.take(pa.array(place)), pa.array(ats[place] - last, pa.int32()), pa.array(ats[place] - first + WINDOW, pa.int32())], ["rk", "start", "end"])
+
+
+SPANS = "rk long, start int, end int"
+
+
 class Trees:
     """The subtrees of some prefixes: suffixes sorted by prefix and following words."""
 
@@ -142,20 +173,17 @@ class Trees:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of windows that a smaller doc_id has too; rows come sorted by prefix."""
+    """Spans of windows that a smaller doc_id has too; rows come sorted by prefix."""
 
     def grown(rows: pa.Table) -> pa.RecordBatch:
-        prefix, order = rows["prefix"].to_numpy(), rows["ord"].to_numpy()
-        trees = Trees(prefix, bytes_of_rows(rows["context"].combine_chunks(), _WIDTH))
-        at, starts, whose = rows["at"].to_numpy(), [], []
+        ords, rks, ats, row, low = _places(rows)
+        trees = Trees(rows["prefix"].to_numpy(), bytes_of_rows(rows["context"].combine_chunks(), _WIDTH))
+        least = np.full((len(low), SIDE + 1), _LAST)
         for k, some, kind in trees.windows():
-            least = np.full(int(kind.max()) + 1 if len(kind) else 0, _LAST)
-            np.minimum.at(least, kind, order[some])
-            hit = some[order[some] > least[kind]]
-            starts.append(at[hit] - k)
-            whose.append(hit)
-        whose = np.concatenate(whose)
-        return pa.RecordBatch.from_arrays([rows["rk"].combine_chunks().take(pa.array(whose)), pa.array(np.concatenate(starts), pa.int32())], ["rk", "start"])
+            of_kind = np.full(int(kind.max()) + 1 if len(kind) else 0, _LAST)
+            np.minimum.at(of_kind, kind, low[some])
+            least[some, k] = of_kind[kind]
+        return _spans(least, ords, rks, ats, row)
 
     waiting: list[pa.Table] = []
     for batch in batches:
@@ -172,32 +200,42 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of a suffix as the hash of its 13 words: the longest prefix."""
+    """Each window of a row as the hash of its 13 words, the longest prefix, with its least and greatest doc_id."""
     for batch in batches:
         context = bytes_of_rows(batch["context"], _WIDTH)
         sides = np.ascontiguousarray(context[:, : 16 * SIDE]).view(np.uint64)
-        prefix, at = batch["prefix"].to_numpy().view(np.uint64), batch["at"].to_numpy()
+        prefix = batch["prefix"].to_numpy().view(np.uint64)
         for k in range(SIDE + 1):
             ok = np.flatnonzero((context[:, -2] >= k) & (context[:, -1] >= SIDE - k))
             key = mix(prefix[ok] + keys(SIDE + 1, 52)[k])
             for c in [*range(k), *range(SIDE, 2 * SIDE - k)]:
                 key = mix(key * keys(1, 53)[0] + sides[ok, c])
             take = lambda c, ok=ok: batch[c].take(pa.array(ok))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), take("ord"), take("rk"), pa.array(at[ok] - k, pa.int32())], ["window", "ord", "rk", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), take("low"), take("high"), take("row"), pa.array(np.full(len(ok), k), pa.int32())], ["window", "low", "high", "row", "k"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            ords, rks, ats, row, _ = _places(batch)
+            least = np.full((batch.num_rows, SIDE + 1), _LAST)
+            for i, found in enumerate(batch["found"].to_pylist()):
+                for x in found:
+                    least[i, x["k"]] = x["low"]
+            yield _spans(least, ords, rks, ats, row)
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, copy, starts in zip(*(batch[c].to_pylist() for c in ("text", "copy", "starts")), strict=True):
+        for text, copy, spans in zip(*(batch[c].to_pylist() for c in ("text", "copy", "spans")), strict=True):
             words = text.encode().split() if text else []
             gone = np.zeros(len(words) + 1, np.int64)
             if copy and len(words) >= WINDOW:
                 gone[0] = 1
-            elif starts:
-                starts = np.array(starts)
-                np.add.at(gone, starts, 1)
-                np.add.at(gone, starts + WINDOW, -1)
+            elif spans:
+                np.add.at(gone, [s["start"] for s in spans], 1)
+                np.add.at(gone, [s["end"] for s in spans], -1)
             gone = np.cumsum(gone)[:-1] > 0
             left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
             rows.append((len(words), int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode()))
@@ -222,18 +260,25 @@ def dedup(docs: DataFrame, hot: int = HOT, bloom: int = BLOOM) -> DataFrame:
     else:
         places = found.join(shared.select("prefix"), "prefix", "left_semi").groupBy("rk").agg(F.collect_list("at").alias("places"))
         run, suffixes = _suffixes(None), own.dropDuplicates(["rk"]).join(places, "rk")
-    suffixes = suffixes.mapInArrow(run, "prefix long, ord long, rk long, at int, context binary")
+    suffixes = suffixes.mapInArrow(run, SUFFIXES)
 
+    # A prefix at many places may still have few distinct contexts; only many rows need another way.
     many = kept(shared.where(F.col("n") > hot).select("prefix"), "hot")
     is_hot = not many.isEmpty()
+    if is_hot:
+        suffixes = kept(suffixes, "suffixes")
+        many = kept(suffixes.join(many, "prefix", "left_semi").groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("prefix"), "hot")
+        is_hot = not many.isEmpty()
     few = suffixes.join(many, "prefix", "left_anti") if is_hot else suffixes
-    starts = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_repeats, "rk long, start int")
+    spans = few.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_repeats, SPANS)
     if is_hot:
-        windows = suffixes.join(many, "prefix", "left_semi").mapInArrow(_windows, "window long, ord long, rk long, start int")
-        least = windows.groupBy("window").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high").select("window", "low")
-        starts = starts.union(windows.join(least, "window").where("ord > low").select("rk", "start"))
-    starts = starts.groupBy("rk").agg(F.collect_list("start").alias("starts"))
-    out = docs.join(copies.withColumn("copy", F.lit(True)), "rk", "left").join(starts, "rk", "left").select("doc_id", "text", "copy", "starts")
+        those = suffixes.join(many, "prefix", "left_semi").withColumn("row", F.xxhash64("prefix", "context", F.col("rks")[0], F.col("ats")[0]))
+        windows = those.select("prefix", "context", "row", F.array_min("ords").alias("low"), F.array_max("ords").alias("high")).mapInArrow(_windows, "window long, low long, high long, row long, k int")
+        least = windows.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("window", "first")
+        found = windows.join(least, "window").where("high > first").groupBy("row").agg(F.collect_list(F.struct("k", F.col("first").alias("low"))).alias("found"))
+        spans = spans.union(those.join(found, "row").select("ords", "rks", "ats", "found").mapInArrow(_placed, SPANS))
+    spans = spans.groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = docs.join(copies.withColumn("copy", F.lit(True)), "rk", "left").join(spans, "rk", "left").select("doc_id", "text", "copy", "spans")
     return out.mapInArrow(_cleaned, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import as_documents, bloom_of, kept, row_key, table
 from .suffix_groups import suffix_array
-from .text_arrays import Bloom, bytes_of_rows, keys, minimizers, mix, rolling, rows_of_bytes, steps, text_bytes
+from .text_arrays import Bloom, bytes_of_rows, equal_rows, keys, minimizers, mix, rolling, rows_of_bytes, runs, steps, text_bytes
 
 LENGTH = 400
 ANCHOR = 192
@@ -102,10 +102,8 @@ def _rows(data, offsets, hashes, at, of, rk) -> pa.RecordBatch:
     whole = hashes.copy()
     for column in np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -_WIDTH % 8)))).view(np.uint64).T:
         whole = mix(whole * keys(1, 61)[0] + column)
-    order = np.argsort(whole, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))[: len(order)]
-    one = order[begins]
-    lists = pa.array(np.append(begins, len(order)), pa.int32())
+    order, begins = equal_rows(whole)
+    one, lists = order[begins[:-1]], pa.array(begins, pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array(hashes[one].view(np.int64)), rows_of_bytes(rows[one]), pa.ListArray.from_arrays(lists, pa.array(rk[of[order]])), pa.ListArray.from_arrays(lists, pa.array((at - offsets[of])[order], pa.int32()))],
         ["anchor", "stretch", "rks", "ats"],
@@ -150,9 +148,7 @@ def repeated(anchor: np.ndarray, stretch: np.ndarray, n: np.ndarray) -> np.ndarr
 
 def _spans(hit: np.ndarray, rks: pa.ListArray, ats: pa.ListArray) -> pa.RecordBatch:
     """(rk, start, end) of what is covered, from which k recur in each row, at all of its places."""
-    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    row, first = np.nonzero(edge == 1)
-    last = np.nonzero(edge == -1)[1] - 1
+    row, first, last = runs(hit)
     cut = rks.offsets.to_numpy()
     size = np.diff(cut)[row]
     each = np.repeat(np.arange(len(row)), size)

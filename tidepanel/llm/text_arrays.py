@@ -199,3 +199,17 @@ def rows_of_bytes(matrix: np.ndarray) -> pa.Array:
 def bytes_of_rows(column: pa.Array, width: int) -> np.ndarray:
     """The inverse of rows_of_bytes."""
     return np.frombuffer(text_bytes(column)[0], np.uint8).reshape(-1, width)
+
+
+def runs(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of every run of hits in a matrix."""
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def equal_rows(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal hashes together, and where each group of them begins, with the end."""
+    order = np.argsort(whole, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))[: len(order)]
+    return order, np.append(begins, len(order))
