@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, near_dedup, quality_rules, substring_dedup, suffix_array_dedup, token_counts, warc
+from . import decontaminate, license_scan, line_dedup, near_dedup, quality_rules, sentencepiece_lattice, substring_dedup, suffix_array_dedup, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_sentencepiece": sentencepiece_lattice.op4_sentencepiece,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_license_scan": license_scan.op7_license_scan,
