@@ -100,9 +100,11 @@ def marked(docs: DataFrame) -> DataFrame:
 _KEPT = "array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> get(lines, i)), '\\n')"
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """docs with dropped lines taken out of text."""
-    rows = marked(docs).select("doc", F.expr(f"CASE WHEN size(gone) = 0 THEN doc.text ELSE {_KEPT} END").alias("kept_text"))
+def drop_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with dropped lines taken out of text; without the texts that lost their last word, if drop_emptied."""
+    rows = marked(docs).select("doc", "gone", F.expr(f"CASE WHEN size(gone) = 0 THEN doc.text ELSE {_KEPT} END").alias("kept_text"))
+    if drop_emptied:
+        rows = rows.where("size(gone) = 0 OR kept_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
     return rows.select(*[(F.col("kept_text") if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
