@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that an earlier line nearly equals."""
-    return line_dedup.drop_lines(docs)
+    """Documents without lines that an earlier line nearly equals; those left without a word go."""
+    return line_dedup.drop_lines(docs, drop_emptied=True)
 
 
 def first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
