@@ -1,0 +1 @@
+"""Seasonal panel analytics as DataFrame operators."""
