@@ -16,8 +16,8 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    count lies 4.5 standard errors beyond that of the threshold go, as do those whose
    set sizes alone rule it out.
 5. What is left is compared by full sets, and links form components.
-6. Where a bucket still holds nodes of different components, their full sets are
-   joined by prefix filtering, which is exact, across components only.  Pairs within a
+6. Where a bucket still holds nodes of different components, pairs across components
+   pass a prefix filter, which is exact, before they are verified.  Pairs within a
    component add nothing and are never formed.
 
 Every step is a Spark join or aggregate; tables that are used again are written to
@@ -197,32 +197,33 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that can be linked, of nodes in buckets of several components.
 
     Prefix filtering: in any fixed order of shingles, the first ones of two near sets
-    have one in common, at places that leave room for enough others.  The order puts
+    (a quarter of the larger, a seventh of the smaller) have one in common.  The order puts
     shingles of few sets first (by a table of ``CELLS`` counts), so that sets which
     share a common passage, but not enough else, have nothing in common up front.
     """
     own = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    mixed = kept(own.join(mixed, "bucket", "left_semi").select("node", "root").distinct(), "mixed")
-    rows = sets.join(mixed, "node").select("node", "root", "set")
+    mixed = kept(own.join(mixed, "bucket", "left_semi"), "mixed")
+    rows = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "set")
     table = np.zeros(CELLS, np.int64)
     for cell, n in rows.select("set").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
         table[cell] = n
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                own = np.frombuffer(batch["set"][at].as_py(), np.uint64)
+            size, probes, index = [], [], []
+            for one in batch["set"].to_pylist():
+                own = np.frombuffer(one, np.uint64)
                 n = len(own)
-                probe, index = n - -(-LEAST * n // 100) + 1, n - -(-2 * LEAST * n // (100 + LEAST)) + 1
-                first = own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[:probe]]
-                same = lambda v, kind=pa.int64(), k=probe: pa.array(np.full(k, v), kind)
-                yield pa.RecordBatch.from_arrays([same(batch["node"][at].as_py()), same(batch["root"][at].as_py()), same(n), pa.array(first.view(np.int64)), pa.array(np.arange(probe)), pa.array(np.arange(probe) < index)], ["node", "root", "n", "shingle", "at", "indexed"])
-
-    found = rows.mapInArrow(firsts, "node long, root long, n long, shingle long, at long, indexed boolean")
-    x, y = found.alias("x"), found.where("indexed").alias("y")
-    near = F.expr(f"""x.shingle = y.shingle AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n
-        AND (100 + {LEAST}) * least(x.n - x.at, y.n - y.at) >= {LEAST} * (x.n + y.n)""")
+                size.append(n)
+                index.append(n - -(-2 * LEAST * n // (100 + LEAST)) + 1)
+                probes.append(own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-LEAST * n // 100) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array(index, pa.int32())], ["node", "n", "probe", "indexed"])
+
+    found = mixed.join(rows.mapInArrow(firsts, "node long, n long, probe array<long>, indexed int"), "node")
+    x, y = found.alias("x"), found.withColumn("index", F.slice("probe", F.lit(1), F.col("indexed"))).drop("probe").alias("y")
+    near = F.expr(f"""x.bucket = y.bucket AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n
+        AND arrays_overlap(x.probe, y.index)""")
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
