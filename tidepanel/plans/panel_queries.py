@@ -158,7 +158,7 @@ def log_blended_forecast(s: Study) -> DataFrame:
     return rounded(rows.select("cell", "origin_h", "hz", "metric", evidence.log_blend(F.col("p"), other, 0.6).alias("p")), 6)
 
 
-@query("SELECT cell, origin_h, hz, metric, round(routed, 7) AS routed, round(entropy, 7) AS entropy, round(greatest(exp(routed) - 1, 1e-4), 6) AS p, round(low, 7) AS low, round(high, 7) AS high FROM routed")
+@query("SELECT cell, origin_h, hz, metric, round(routed, 7) AS routed, round(entropy, 7) + 0.0 AS entropy, round(greatest(exp(routed) - 1, 1e-4), 6) AS p, round(low, 7) AS low, round(high, 7) AS high FROM routed")
 def fixed_mixture_forecast(s: Study) -> DataFrame:
     rows = s.routed.select("cell", "origin_h", "hz", "metric", "routed", "entropy", "low", "high", F.round("p", 6).alias("p"))
     return rounded(rows)
@@ -249,7 +249,7 @@ def synthetic_request(s: Study) -> DataFrame:
     return rounded(sources.synthetic_request(s.spark).select("i", "m0", "m3"))
 
 
-@query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%-Y/%-m/%-d %-H:00') AS time, coalesce(printf('%.4f', greatest(m2, 1e-4)), 'NIL') AS value, m2 IS NULL AS missing FROM wide")
+@query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%Y/%-m/%-d %-H:00') AS time, coalesce(printf('%.4f', greatest(m2, 1e-4)), 'NIL') AS value, m2 IS NULL AS missing FROM wide")
 def forecast_file_cells(s: Study) -> DataFrame:
     from ..functions import hour_timestamp
 
