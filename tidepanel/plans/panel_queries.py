@@ -249,7 +249,7 @@ def synthetic_request(s: Study) -> DataFrame:
     return rounded(sources.synthetic_request(s.spark).select("i", "m0", "m3"))
 
 
-@query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%Y/%-m/%-d %-H:00') AS time, coalesce(printf('%.4f', greatest(m2, 1e-4)), 'NIL') AS value, m2 IS NULL AS missing FROM wide")
+@query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%Y/%-m/%-d %-H:00') AS time, CASE WHEN m2 IS NULL THEN 'NIL' ELSE printf('%.4f', greatest(m2, 1e-4)) END AS value, m2 IS NULL AS missing FROM wide")
 def forecast_file_cells(s: Study) -> DataFrame:
     from ..functions import hour_timestamp
 
