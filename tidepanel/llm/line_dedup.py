@@ -7,13 +7,14 @@ word stay.  Shorter lines are compared exactly, since one word in seven is not a
 
 1. Lines are reduced to hashes; equal ones collapse to the earliest, partial minima
    first, so a line in a third of all texts is one row from here on.
-2. One edit leaves the first four or the last four words alone, so lines that share
-   neither with another are done; most are.
+2. One edit leaves the first or the last half of the shorter line's words alone, so
+   lines that share neither with another are done; most are.
 3. Of the others every variant with one word deleted is emitted as a hashed key: the
    XOR of hashes of (word, place), so all variants of a line cost one running XOR.
-   Lines with one variant at one place differ by a replaced word at most: the earliest
-   of them stands for all.  A variant that equals a whole line tells of an inserted
-   word.  Only (line, earliest) pairs are formed, never all pairs of a key.
+   Keys that occur once go.  Lines with one variant at one place differ by a replaced
+   word at most: the earliest of them stands for all.  A variant that equals a whole
+   line tells of an inserted word.  Only (line, earliest) pairs are formed, never all
+   pairs of a key.
 4. The word edit distance of each such pair is verified on the words themselves.
 
 Results: a null text stays null; a row without doc_id comes after all others; rows
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from .common import as_documents, kept, row_key, table
 
 MIN_WORDS = 8
-END = 4
+#: Lines of more words have their running XOR computed by a window instead of in their row.
+LONG = 512
+#: Places of candidate lines are sent to the texts up to so many, else texts and places are shuffled.
+BROADCAST_PLACES = 500_000
 _LAST = 2**63 - 1
 
 _WORDS = "filter(split(line, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
@@ -41,38 +45,49 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """ord, rk, pos, and hashes of every line with a word; no text."""
+    """place, number of words and hashes of every line with a word; of long enough ones also those of their halves."""
     lines = _texts(docs).select("ord", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.selectExpr("ord", "rk", "pos", f"{_WORDS} AS w").where("size(w) > 0")
-    return lines.selectExpr(
-        "struct(ord, rk, pos) AS place", "size(w) AS n", "xxhash64(w) AS h1", "xxhash64(1, w) AS h2",
-        f"xxhash64('first', slice(w, 1, {END})) AS head", f"xxhash64('last', slice(w, -least({END}, size(w)), {END})) AS tail",
-    )
+    halves = ", ".join(f"xxhash64('{end}', slice(w, {at}, {n}))" for n in ("size(w) div 2", "(size(w) - 1) div 2") for end, at in (("first", "1"), ("last", f"-greatest({n}, 1)")))
+    return lines.selectExpr("struct(ord, rk, pos) AS place", "xxhash64(w) AS h1", "xxhash64(1, w) AS h2", f"CASE WHEN size(w) >= {MIN_WORDS} THEN array_distinct(array({halves})) END AS halves")
+
+
+def _variants(lines: DataFrame, long: int) -> DataFrame:
+    """place, whole (the key of a line), k and variant (the key without word k) of lines(place, w)."""
+    # Deleting word k leaves words before it in place and moves those after it one place down.
+    hashes = lines.where(f"size(w) <= {long}").selectExpr("place", "transform(w, (x, i) -> xxhash64(x, i)) AS stays", "transform(w, (x, i) -> xxhash64(x, i - 1)) AS moves")
+    upto = "aggregate(zip_with(stays, moves, (s, m) -> s ^ m), struct(0L AS x, cast(array() AS array<bigint>) AS upto), (a, d) -> struct(a.x ^ d AS x, concat(a.upto, array(a.x)) AS upto), a -> a.upto)"
+    total = lambda c: f"aggregate({c}, 0L, (a, x) -> a ^ x)"
+    rows = hashes.selectExpr("place", f"{total('stays')} AS whole", f"{total('moves')} AS moved", "moves", f"{upto} AS upto")
+    rows = rows.selectExpr("place", "whole", "posexplode(zip_with(upto, moves, (u, m) -> u ^ moved ^ m)) AS (k, variant)")
+
+    words = lines.where(f"size(w) > {long}").select("place", F.posexplode("w").alias("k", "word")).selectExpr("place", "k", "xxhash64(word, k) AS stays", "xxhash64(word, k - 1) AS moves")
+    line = Window.partitionBy("place")
+    before = line.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.select("place", "k", F.bit_xor("stays").over(line).alias("whole"), F.bit_xor("moves").over(line).alias("moved"), F.bit_xor(F.col("stays").bitwiseXOR(F.col("moves"))).over(before).alias("upto"), "moves")
+    return rows.union(words.selectExpr("place", "whole", "cast(k as int) AS k", "coalesce(upto, 0L) ^ moved ^ moves AS variant"))
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, long: int = LONG, broadcast_places: int = BROADCAST_PLACES) -> DataFrame:
     """rk and pos of every line to drop."""
-    lines = _lines(docs)
-    distinct = lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("head").alias("head"), F.min("tail").alias("tail"))
-    distinct = kept(distinct, "lines")
+    lines = kept(_lines(docs), "lines")
+    distinct = kept(lines.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("copies"), F.any_value("halves").alias("halves")), "distinct")
     again = distinct.where("copies > 1").select("h1", "h2", "first")
     exact = lines.select("h1", "h2", "place").join(again, ["h1", "h2"]).where("place > first").select("place.rk", "place.pos")
 
-    long = distinct.where(f"n >= {MIN_WORDS}").select(F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"), "head", "tail").select("rk", "pos", F.explode(F.array("head", "tail")).alias("end"))
-    ends = long.groupBy("end").agg(F.count("*").alias("lines")).where("lines > 1").select("end")
-    wanted = long.join(ends, "end", "left_semi").groupBy("rk").agg(F.collect_set("pos").alias("at"))
-    texts = _texts(docs).dropDuplicates(["rk"]).join(wanted, "rk")
-    some = texts.selectExpr("ord", "rk", "posexplode(split(text, '\\n')) AS (pos, line)", "at").where("array_contains(at, pos)")
-    some = kept(some.selectExpr("struct(ord, rk, pos) AS place", f"{_WORDS} AS w"), "candidates")
+    ends = distinct.where("halves IS NOT NULL").selectExpr("first.rk AS rk", "first.pos AS pos", "halves").select("rk", "pos", F.explode("halves").alias("half"))
+    shared = ends.groupBy("half").agg(F.count("*").alias("lines")).where("lines > 1").select("half")
+    wanted = kept(ends.join(shared, "half", "left_semi").select("rk", "pos").distinct(), "wanted")
+    places = wanted.groupBy("rk").agg(F.collect_set("pos").alias("at"))
+    places = F.broadcast(places) if wanted.count() <= broadcast_places else places
+    some = _texts(docs).join(places, "rk").selectExpr("ord", "rk", "posexplode(split(text, '\\n')) AS (pos, line)", "at").where("array_contains(at, pos)")
+    some = kept(some.selectExpr("struct(ord, rk, pos) AS place", f"{_WORDS} AS w").dropDuplicates(["place"]), "candidates")
 
-    # Deleting word k leaves words before it in place and moves those after it one place down.
-    words = some.select("place", F.posexplode("w").alias("k", "word")).selectExpr("place", "k", "xxhash64(word, k) AS stays", "xxhash64(word, k - 1) AS moves")
-    line = Window.partitionBy("place")
-    upto = line.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    words = words.select("place", "k", F.bit_xor("stays").over(line).alias("whole"), F.bit_xor("moves").over(line).alias("moved"), F.bit_xor("stays").over(upto).alias("s"), F.bit_xor("moves").over(upto).alias("m"), "stays")
-    variants = words.selectExpr("place", "k", "whole", "(s ^ stays) ^ (moved ^ m) AS variant")
-    variants = kept(variants, "variants")
-    whole = variants.where("k = 0").select("place", F.col("whole").alias("variant"))
+    variants = kept(_variants(some, long), "variants")
+    twice = variants.select(F.explode(F.expr("IF(k = 0, array(variant, whole), array(variant))")).alias("variant")).groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant")
+    twice = kept(twice, "keys")
+    whole = variants.where("k = 0").select("place", F.col("whole").alias("variant")).join(twice, "variant", "left_semi")
+    variants = kept(variants.select("variant", "k", "place").join(twice, "variant", "left_semi"), "shared")
 
     replaced = variants.groupBy("variant", "k").agg(F.min("place").alias("other"), F.max("place").alias("last")).where("other < last").drop("last")
     replaced = variants.join(replaced, ["variant", "k"]).select("place", "other")
@@ -111,7 +126,7 @@ def drop_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marked(table(spark, sf_dir, "documents"))
     return rows.selectExpr(
-        "doc.doc_id AS doc_id", "cast(size(filter(coalesce(lines, array()), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')) as long) AS n_lines",
+        "doc.doc_id AS doc_id", "cast(size(filter(coalesce(lines, array()), x -> length(translate(x, ' \t\u000b\f\r', '')) > 0)) as long) AS n_lines",
         "cast(size(gone) as long) AS n_removed", f"sha2(coalesce(CASE WHEN size(gone) = 0 THEN doc.text ELSE {_KEPT} END, ''), 256) AS kept_sha256",
     )
 
