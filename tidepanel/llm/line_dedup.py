@@ -32,7 +32,7 @@ from .common import as_documents, kept, row_key, table
 
 MIN_WORDS = 8
 #: Lines of more words have their running XOR computed by a window instead of in their row.
-LONG = 512
+LONG = 4096
 #: Places of candidate lines are sent to the texts up to so many, else texts and places are shuffled.
 BROADCAST_PLACES = 500_000
 _LAST = 2**63 - 1
