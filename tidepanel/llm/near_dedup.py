@@ -24,9 +24,9 @@ Every step is a Spark join or aggregate; tables that are used again are written
 the shared folder.
 
 Results: a null or empty text has n_shingles 0 and component_id = doc_id; a row
-without doc_id is linked with nothing, component_id null, and kept; rows of one
-doc_id are one document: linked if any of its texts is; ties go to the least
-doc_id; an empty table gives no rows; further columns are ignored by
+without doc_id is linked with nothing, component_id null, and kept; repeated rows
+get equal results, and different texts under one doc_id are one node where it is
+the least of their copies; ties go to the least doc_id; an empty table gives no rows; further columns are ignored by
 ``components`` and stay in ``keep_first``.  Texts are read whole.
 """
 
