@@ -1,4 +1,4 @@
 """All queries of the panel engine, by name, and their SQL."""
 
-from . import panel_queries  # noqa: F401
+from . import evaluation_queries, panel_queries  # noqa: F401
 from .study import QUERIES, SQL  # noqa: F401
