@@ -17,7 +17,7 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    set sizes alone rule it out.
 5. What is left is compared by full sets, and links form components.
 6. Where a bucket still holds nodes of different components, pairs across components
-   pass a prefix filter, which is exact, before they are verified.  Pairs within a
+   pass the sketches and a prefix filter, which is exact, before they are verified.  Pairs within a
    component add nothing and are never formed.
 
 Every step is a Spark join or aggregate; tables that are used again are written to
@@ -152,8 +152,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _close(x: str, y: str) -> Column:
-    """How many bits of two odd sketches differ."""
-    return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)))
+    """Whether so few bits of two odd sketches differ that their texts may be near."""
+    return F.expr("(" + " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)) + f") <= {most_bits()}")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     sketches = signed.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
     paired = stars.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
-    stars = kept(paired.where((_close("x", "y") <= most_bits()) & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b"), "stars")
+    stars = kept(paired.where(_close("x", "y") & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b"), "stars")
 
     wanted = members.select("node").distinct()
     texts = as_documents(docs).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
@@ -180,7 +180,7 @@ def components(docs: DataFrame) -> DataFrame:
 
     tested = verified(stars, sets)
     roots = groups(tested.where("linked"))
-    across = kept(_across(members, sets, roots).join(tested, ["a", "b"], "left_anti"), "across")
+    across = kept(_across(members, sets, roots, signed.select(F.col("doc_id").alias("node"), "sketch", "bands")).join(tested, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
         tested = tested.unionByName(verified(across, sets))
         roots = groups(tested.where("linked"))
@@ -193,13 +193,15 @@ def components(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
 
 
-def _across(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that can be linked, of nodes in buckets of several components.
 
     Prefix filtering: in any fixed order of shingles, the first ones of two near sets
     (a quarter of the larger, a seventh of the smaller) have one in common.  The order puts
     shingles of few sets first (by a table of ``CELLS`` counts), so that sets which
     share a common passage, but not enough else, have nothing in common up front.
+    Odd sketches are compared first, and a pair is formed in its first bucket alone;
+    marks(node, sketch, bands) has what both need.
     """
     own = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
@@ -220,10 +222,12 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
                 probes.append(own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-LEAST * n // 100) + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array(index, pa.int32())], ["node", "n", "probe", "indexed"])
 
-    found = mixed.join(rows.mapInArrow(firsts, "node long, n long, probe array<long>, indexed int"), "node")
+    probes = rows.mapInArrow(firsts, "node long, n long, probe array<long>, indexed int").join(marks, "node")
+    found = mixed.join(probes, "node")
     x, y = found.alias("x"), found.withColumn("index", F.slice("probe", F.lit(1), F.col("indexed"))).drop("probe").alias("y")
-    near = F.expr(f"""x.bucket = y.bucket AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n
-        AND arrays_overlap(x.probe, y.index)""")
+    sized = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n")
+    once = F.expr("array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = array_position(x.bands, x.bucket)")
+    near = sized & _close("x.sketch", "y.sketch") & once & F.expr("arrays_overlap(x.probe, y.index)")
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
