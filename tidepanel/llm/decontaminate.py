@@ -19,7 +19,9 @@ each of which is one pass over the texts; nothing is shuffled.
 Results: null or empty texts leak nothing, null or empty items match nothing; a null
 doc_id is carried; repeated rows give repeated results; of equally similar windows the
 first is told; no texts or no items give no rows; other columns are ignored by
-``leaks`` and stay in ``clean``.  Texts are read whole.
+``leaks`` and stay in ``clean``.  Texts are read whole.  ``clean`` goes by doc_id and
+keeps rows without one; ``clean_rows``, which the pipeline uses, judges each row by its
+own text.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_documents, kept, table
+from .common import as_documents, kept, row_key, table
 from .text_arrays import Words, steps, text_bytes
 
 SHINGLE = 5
@@ -161,5 +163,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(dirty, F.col("doc_id") == F.col("leaking"), "left_anti")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows whose own text leaks an item, whatever their doc_id."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    dirty = kept(leaks(keyed, benchmark).select(F.col("doc_id").alias("leaking_key")).distinct(), "leaks")
+    return docs.join(dirty, row_key() == F.col("leaking_key"), "left_anti")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -27,7 +27,10 @@ Results: a null or empty text has n_shingles 0 and component_id = doc_id; a row
 without doc_id is linked with nothing, component_id null, and kept; repeated rows
 get equal results, and different texts under one doc_id are one node where it is
 the least of their copies; ties go to the least doc_id; an empty table gives no rows; further columns are ignored by
-``components`` and stay in ``keep_first``.  Texts are read whole.
+``components`` and stay in ``keep_first``.  Texts are read whole.  ``first_rows``, which
+the pipeline uses, takes each distinct (doc_id, text) for a node: rows without doc_id
+lose to linked ones with one, then to the least row key, of repeated rows with words one
+stays, and different texts under one doc_id are judged apart.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_documents, groups, kept, table
+from .common import as_documents, groups, kept, row_key, table
 from .text_arrays import Words, keys, mix, steps, text_bytes
 
 SHINGLE = 5
@@ -246,6 +249,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return docs.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
+def first_rows(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of texts, and all rows without words."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    nodes = kept(components(keyed).where("n_shingles > 0").groupBy(F.col("doc_id").alias("key"), "component_id").agg(F.count("*").alias("n")), "rows")
+    ids = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id")).distinct()
+    # A struct's order puts null first, so a missing id is told before the id.
+    first = nodes.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
+    first = kept(first.select(F.col("least.key").alias("first_key")), "first")
+    gone = kept(nodes.join(first, F.col("key") == F.col("first_key"), "left_anti").select(F.col("key").alias("gone_key")), "copies")
+    out = docs.join(gone, row_key() == F.col("gone_key"), "left_anti")
+    again = nodes.where("n > 1").select(F.col("key").alias("again_key"))
+    if again.isEmpty():
+        return out
+    once = out.join(again, row_key() == F.col("again_key"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, row_key() == F.col("again_key"), "left_anti").unionByName(once)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
 
