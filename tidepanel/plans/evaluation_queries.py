@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, corruption, features, inference, joins, metrics, models, panel, ranking
-from .study import SEED, Study, query, rounded
+from .study import SEED, Study, query, query_and_whole, rounded
 
 _HITS = ", ".join(f"round(avg((e < {t})::INT), 7) AS hit_{round(t * 100)}" for t in metrics.HIT_THRESHOLDS)
 _AUC = "(" + " + ".join(f"avg((e < {t})::INT)" for t in metrics.HIT_THRESHOLDS) + ") / 4"
@@ -243,11 +243,11 @@ def key_alignment_problems(s: Study) -> DataFrame:
     return joins.key_problems(s.windows, right, ["cell", "origin_h"]).select("cell", "origin_h", "problem")
 
 
-@query("SELECT method, cell, origin_h, hz, metric, round(p, 6) AS p, round(y, 6) AS y FROM pred WHERE method = 'fixed' AND layer = 'inner'")
-def key_exact_alignment(s: Study) -> DataFrame:
+@query_and_whole("SELECT method, cell, origin_h, hz, metric, round(p, 6) AS p, round(y, 6) AS y FROM pred WHERE method = 'fixed' AND layer = 'inner'", " AND layer = 'inner'", "layer = 'inner'")
+def key_exact_alignment(s: Study, where: str) -> DataFrame:
     keys = ["cell", "origin_h", "hz", "metric"]
-    left = s.targets.where("layer = 'inner'").select(*keys, "y")
-    right = s.predictions.where("method = 'fixed' AND layer = 'inner'").select("method", *keys, "p")
+    left = s.targets.where(where).select(*keys, "y")
+    right = s.predictions.where("method = 'fixed'").where(where).select("method", *keys, "p")
     return rounded(joins.key_exact(left, right, keys).select("method", *keys, "p", "y"), 6)
 
 

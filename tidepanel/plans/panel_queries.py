@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sources
 from ..functions import array_median, epoch_hour, hash_uniform
 from ..operators import evidence, features, metrics, panel, routing
-from .study import Study, query, rounded
+from .study import Study, query, query_and_whole, rounded
 
 
 @query("SELECT metric, count(*) AS n, round(sum(abs(y - p)) / greatest(sum(abs(y)), 1e-12), 7) AS wape FROM pred WHERE method = 'last_week' AND y IS NOT NULL AND p IS NOT NULL GROUP BY metric")
@@ -64,6 +64,11 @@ def targets_by_layer(s: Study) -> DataFrame:
     return rounded(s.targets.where("layer = 'holdout'").select("cell", "origin_h", "hz", "metric", "y"), 6)
 
 
+@query("SELECT cell, origin_h, layer, hz, metric, round(y, 6) AS y FROM tgt")
+def targets_by_layer_all(s: Study) -> DataFrame:
+    return rounded(s.targets.select("cell", "origin_h", "layer", "hz", "metric", "y"), 6)
+
+
 def _expert(name: str, k: int):
     sql = f"SELECT cell, origin_h, hz, metric, round(v[{k}], 7) AS value, a[{k}] AS available, round(rho[{k}], 7) AS reliability FROM experts"
 
@@ -145,9 +150,9 @@ def request_fallback_prior(s: Study) -> DataFrame:
     return rounded(rows.where("fallback IS NOT NULL").select("cell", "origin_h", "hz", "metric", "fallback"))
 
 
-@query("SELECT method, cell, origin_h, hz, metric, round(p, 6) AS p FROM pred WHERE layer = 'holdout' AND p IS NOT NULL")
-def deterministic_baselines(s: Study) -> DataFrame:
-    return rounded(s.predictions.where("layer = 'holdout' AND p IS NOT NULL").select("method", "cell", "origin_h", "hz", "metric", "p"), 6)
+@query_and_whole("SELECT method, cell, origin_h, hz, metric, round(p, 6) AS p FROM pred WHERE layer = 'holdout' AND p IS NOT NULL", " layer = 'holdout' AND", "layer = 'holdout'")
+def deterministic_baselines(s: Study, where: str) -> DataFrame:
+    return rounded(s.predictions.where(where).where("p IS NOT NULL").select("method", "cell", "origin_h", "hz", "metric", "p"), 6)
 
 
 @query("SELECT cell, origin_h, hz, metric, round(greatest(exp(0.4 * ln(1 + a.p) + 0.6 * ln(1 + b.p)) - 1, 1e-4), 6) AS p FROM pred a JOIN pred b USING (cell, origin_h, hz, metric) WHERE a.method = 'fixed' AND b.method = 'median_7d'")
@@ -167,21 +172,21 @@ def fixed_mixture_forecast(s: Study) -> DataFrame:
 _LOGIT = [round(0.3 * k - 0.05 * k * k, 4) for k in range(8)]
 
 
-@query(f", x AS (SELECT *, [CASE WHEN a[k] THEN exp(({_LOGIT}::DOUBLE[])[k] + 0.1 * metric * k) ELSE 0 END FOR k IN range(1, 9)] AS e FROM experts) SELECT cell, origin_h, hz, metric, k::INT AS expert, round(e[k] / list_sum(e), 7) AS weight FROM x, range(1, 9) r(k) WHERE layer = 'holdout'")
-def static_softmax_weights(s: Study) -> DataFrame:
-    rows = s.experts.where("layer = 'holdout'").withColumn("logits", F.transform(F.array(*[F.lit(float(v)) for v in _LOGIT]), lambda v, k: v + 0.1 * F.col("metric") * (k + 1)))
+@query_and_whole(f", x AS (SELECT *, [CASE WHEN a[k] THEN exp(({_LOGIT}::DOUBLE[])[k] + 0.1 * metric * k) ELSE 0 END FOR k IN range(1, 9)] AS e FROM experts) SELECT cell, origin_h, hz, metric, k::INT AS expert, round(e[k] / list_sum(e), 7) AS weight FROM x, range(1, 9) r(k) WHERE layer = 'holdout'", " WHERE layer = 'holdout'", "layer = 'holdout'")
+def static_softmax_weights(s: Study, where: str) -> DataFrame:
+    rows = s.experts.where(where).withColumn("logits", F.transform(F.array(*[F.lit(float(v)) for v in _LOGIT]), lambda v, k: v + 0.1 * F.col("metric") * (k + 1)))
     rows = routing.softmax(rows).select("cell", "origin_h", "hz", "metric", F.posexplode("alpha").alias("k", "weight"))
     return rounded(rows.select("cell", "origin_h", "hz", "metric", (F.col("k") + 1).alias("expert"), "weight"))
 
 
-@query(""", x AS (SELECT cell, origin_h, hz, metric, k, (v[k] * 2 - k * 0.1) / 2 AS s FROM experts, range(1, 9) r(k) WHERE layer = 'holdout' AND a[k]),
+@query_and_whole(""", x AS (SELECT cell, origin_h, hz, metric, k, (v[k] * 2 - k * 0.1) / 2 AS s FROM experts, range(1, 9) r(k) WHERE layer = 'holdout' AND a[k]),
     y AS (SELECT *, s - max(s) OVER g AS z FROM x WINDOW g AS (PARTITION BY cell, origin_h, hz, metric)),
     c AS (SELECT *, count(*) OVER o AS n, avg(z) OVER o AS m, avg(z * z) OVER o AS q FROM y WINDOW o AS (PARTITION BY cell, origin_h, hz, metric ORDER BY z DESC, k ROWS UNBOUNDED PRECEDING)),
     t AS (SELECT *, m - sqrt(greatest((1 - n * (q - m * m)) / n, 0)) AS tau FROM c),
     u AS (SELECT cell, origin_h, hz, metric, arg_max(tau, n) AS tau FROM t WHERE tau <= z GROUP BY ALL)
-    SELECT y.cell, y.origin_h, y.hz, y.metric, y.k::INT AS expert, round(CASE WHEN z > tau THEN (z - tau) * (z - tau) ELSE 0 END, 6) AS weight FROM y JOIN u USING (cell, origin_h, hz, metric)""")
-def available_entmax_weights(s: Study) -> DataFrame:
-    rows = s.experts.where("layer = 'holdout'").withColumn("logits", F.transform("v", lambda v, k: v * 2 - (k + 1) * 0.1))
+    SELECT y.cell, y.origin_h, y.hz, y.metric, y.k::INT AS expert, round(CASE WHEN z > tau THEN (z - tau) * (z - tau) ELSE 0 END, 6) AS weight FROM y JOIN u USING (cell, origin_h, hz, metric)""", " layer = 'holdout' AND", "layer = 'holdout'")
+def available_entmax_weights(s: Study, where: str) -> DataFrame:
+    rows = s.experts.where(where).withColumn("logits", F.transform("v", lambda v, k: v * 2 - (k + 1) * 0.1))
     rows = routing.entmax15(rows).select("cell", "origin_h", "hz", "metric", "a", F.posexplode("alpha").alias("k", "weight")).where(F.get("a", F.col("k")))
     return rounded(rows.select("cell", "origin_h", "hz", "metric", (F.col("k") + 1).alias("expert"), "weight"), 6)
 
@@ -220,26 +225,26 @@ def absolute_lag_values(s: Study) -> DataFrame:
     return rounded(features.back_values(s.windows, s.panel))
 
 
-@query("SELECT cell, origin_h, metric, off, (off - coalesce(max(CASE WHEN z IS NOT NULL THEN off END) OVER (PARTITION BY cell, origin_h, metric ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS elapsed FROM hist WHERE layer = 'inner'")
-def elapsed_since_observation(s: Study) -> DataFrame:
-    return features.elapsed(s.history.where("layer = 'inner'")).select("cell", "origin_h", "metric", "off", F.col("elapsed").cast("int"))
+@query_and_whole("SELECT cell, origin_h, metric, off, (off - coalesce(max(CASE WHEN z IS NOT NULL THEN off END) OVER (PARTITION BY cell, origin_h, metric ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1))::INT AS elapsed FROM hist WHERE layer = 'inner'", " WHERE layer = 'inner'", "layer = 'inner'")
+def elapsed_since_observation(s: Study, where: str) -> DataFrame:
+    return features.elapsed(s.history.where(where)).select("cell", "origin_h", "metric", "off", F.col("elapsed").cast("int"))
 
 
 _FILLED = "fl AS (SELECT *, coalesce(x, median(x) OVER (PARTITION BY cell, origin_h, metric), 0) AS filled FROM hist WHERE layer = 'inner')"
 
 
-@query(f", {_FILLED}, k AS (SELECT a.cell, a.origin_h, a.metric, a.off, b.filled FROM fl a, range(-12, 13) r(d) JOIN fl b ON b.cell = a.cell AND b.origin_h = a.origin_h AND b.metric = a.metric AND b.off = least(greatest(a.off + d, 0), 335)) SELECT cell, origin_h, metric, off, round(avg(filled), 6) AS smooth FROM k GROUP BY ALL")
-def centered_moving_average(s: Study) -> DataFrame:
+@query_and_whole(f", {_FILLED}, k AS (SELECT a.cell, a.origin_h, a.metric, a.off, b.filled FROM fl a, range(-12, 13) r(d) JOIN fl b ON b.cell = a.cell AND b.origin_h = a.origin_h AND b.metric = a.metric AND b.off = least(greatest(a.off + d, 0), 335)) SELECT cell, origin_h, metric, off, round(avg(filled), 6) AS smooth FROM k GROUP BY ALL", " WHERE layer = 'inner'", "layer = 'inner'")
+def centered_moving_average(s: Study, where: str) -> DataFrame:
     from ..operators.corruption import refilled
 
-    return rounded(features.moving_average(refilled(s.history.where("layer = 'inner'"))).select("cell", "origin_h", "metric", "off", "smooth"), 6)
+    return rounded(features.moving_average(refilled(s.history.where(where))).select("cell", "origin_h", "metric", "off", "smooth"), 6)
 
 
-@query(f", {_FILLED} SELECT cell, origin_h, metric, patch::BIGINT AS patch, count(*) AS n, round(sum(filled * (off - 12 * patch + 1)), 4) AS weighted FROM fl, range(0, 27) r(patch) WHERE off BETWEEN 12 * patch AND 12 * patch + 23 GROUP BY ALL")
-def patch_unfold(s: Study) -> DataFrame:
+@query_and_whole(f", {_FILLED} SELECT cell, origin_h, metric, patch::BIGINT AS patch, count(*) AS n, round(sum(filled * (off - 12 * patch + 1)), 4) AS weighted FROM fl, range(0, 27) r(patch) WHERE off BETWEEN 12 * patch AND 12 * patch + 23 GROUP BY ALL", " WHERE layer = 'inner'", "layer = 'inner'")
+def patch_unfold(s: Study, where: str) -> DataFrame:
     from ..operators.corruption import refilled
 
-    rows = features.patches(refilled(s.history.where("layer = 'inner'")))
+    rows = features.patches(refilled(s.history.where(where)))
     weighted = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
     return rounded(rows.select("cell", "origin_h", "metric", "patch", F.size("values").cast("bigint").alias("n"), weighted.alias("weighted")), 4)
 
@@ -259,12 +264,18 @@ def forecast_file_cells(s: Study) -> DataFrame:
     return back.where(epoch_hour("ts") == F.col("h")).select("cell", "h", "time", "value", F.col("x").isNull().alias("missing"))
 
 
-@query("SELECT cell, h, metric, concat('0x', substr(sha256(concat_ws('|', 142, cell, h, metric, 'async')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM panel WHERE i < 48")
-def hash_uniform_values(s: Study) -> DataFrame:
-    return s.panel.where("i < 48").select("cell", "h", "metric", hash_uniform(F.lit(142), "cell", "h", "metric", F.lit("async")).alias("u"))
+@query_and_whole("SELECT cell, h, metric, concat('0x', substr(sha256(concat_ws('|', 142, cell, h, metric, 'async')), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS u FROM panel WHERE i < 48", ' WHERE i < 48', 'i < 48')
+def hash_uniform_values(s: Study, where: str) -> DataFrame:
+    return s.panel.where(where).select("cell", "h", "metric", hash_uniform(F.lit(142), "cell", "h", "metric", F.lit("async")).alias("u"))
 
 
 @query("SELECT cell, metric, count(*) AS n, round(median(x), 6) AS median FROM panel WHERE i % 24 = 7 AND x IS NOT NULL GROUP BY ALL")
 def same_hour_medians(s: Study) -> DataFrame:
     rows = s.panel.where("i % 24 = 7 AND x IS NOT NULL").groupBy("cell", "metric").agg(F.collect_list("x").alias("xs"))
     return rounded(rows.select("cell", "metric", F.size("xs").cast("bigint").alias("n"), array_median(F.col("xs")).alias("median")), 6)
+
+
+@query("SELECT cell, metric, h % 24 AS hour, count(*) AS n, round(median(x), 6) AS median FROM panel WHERE x IS NOT NULL GROUP BY ALL")
+def same_hour_medians_all(s: Study) -> DataFrame:
+    rows = s.panel.where("x IS NOT NULL").groupBy("cell", "metric", F.expr("pmod(h, 24)").alias("hour")).agg(F.collect_list("x").alias("xs"))
+    return rounded(rows.select("cell", "metric", "hour", F.size("xs").cast("bigint").alias("n"), array_median(F.col("xs")).alias("median")), 6)

@@ -90,6 +90,24 @@ def query(sql: str | None = None):
     return add
 
 
+def query_and_whole(sql: str, cut_sql: str, cut: str):
+    """Registers a function of a Study and a condition as a query of the rows that meet ``cut``, and as NAME_all of all rows.
+
+    The SQL of NAME_all is the same without cut_sql.
+    """
+
+    def add(f: Callable[[Study, str], DataFrame]):
+        if cut_sql not in sql:
+            raise ValueError(f"{f.__name__}: the SQL lacks {cut_sql}")
+        for name, where, text in ((f.__name__, cut, sql), (f"{f.__name__}_all", "true", sql.replace(cut_sql, ""))):
+            run = lambda s, where=where: f(s, where)
+            run.__name__ = name
+            query(text)(run)
+        return f
+
+    return add
+
+
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
     """df with doubles rounded, for comparison across engines."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
