@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 TINY = 1e-12
 HIT_THRESHOLDS = (0.2, 0.3, 0.4, 0.5)
+THRESHOLD_SETS = {"lower_shift": (0.15, 0.25, 0.35, 0.45), "official": HIT_THRESHOLDS, "upper_shift": (0.25, 0.35, 0.45, 0.55)}
 ROW = ("method", "cell", "origin_h", "hz")
 
 
@@ -127,6 +128,15 @@ def sensitivity(filtered: DataFrame, grid: Sequence[float]) -> DataFrame:
     return rates.withColumn("area", area).groupBy("method").agg((F.sum("area") / (F.max("tau") - F.min("tau"))).alias("auc"), F.min("rate").alias("first_rate"), F.max("rate").alias("last_rate"))
 
 
+def threshold_set_scores(filtered: DataFrame, sets: dict[str, Sequence[float]]) -> DataFrame:
+    """The mean hit rate of each method over the thresholds of each named set."""
+    error = F.aggregate(F.zip_with("y", "p", lambda y, p: F.abs(y - p) / y), F.lit(0.0), lambda s, e: s + e) / 4
+    rows = filtered.withColumn("e", error)
+    rate = lambda t: F.avg((F.col("e") < t).cast("double"))
+    wide = rows.groupBy("method").agg(F.count("*").alias("samples"), *[(sum((rate(t) for t in ts), F.lit(0.0)) / len(ts)).alias(name) for name, ts in sets.items()])
+    return wide.unpivot(["method", "samples"], list(sets), "threshold_set", "score")
+
+
 def utility_curves(predictions: DataFrame, betas: Sequence[float]) -> DataFrame:
     """Provisioning at p * (1 + beta): violation, waste, shortage and provision ratios."""
     rows = _seen(predictions).select("method", "metric", "y", "p", F.explode(F.array(*[F.lit(float(b)) for b in betas])).alias("beta"))

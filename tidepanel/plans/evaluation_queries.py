@@ -100,6 +100,20 @@ def threshold_sensitivity(s: Study) -> DataFrame:
     return rounded(metrics.sensitivity(metrics.official_filter(s.rows), [k / 20 for k in range(1, 21)]))
 
 
+#: 21 thresholds of 0.10 to 0.60.
+_FINE_TAUS = [0.10 + 0.025 * k for k in range(21)]
+
+
+@query()
+def threshold_sensitivity_fine(s: Study) -> DataFrame:
+    return rounded(metrics.sensitivity(metrics.official_filter(s.rows), _FINE_TAUS))
+
+
+@query()
+def threshold_set_scores(s: Study) -> DataFrame:
+    return rounded(metrics.threshold_set_scores(metrics.official_filter(s.rows), metrics.THRESHOLD_SETS))
+
+
 _ROUND = "pr AS (SELECT * REPLACE (round(p, 9) AS p) FROM pred)"
 _CURVE = f"{_ROUND}, cv AS (SELECT method, metric, beta / 20.0 AS beta, avg((y > p * (1 + beta / 20.0))::INT) AS violation, sum(greatest(p * (1 + beta / 20.0) - y, 0)) / greatest(sum(y), 1e-12) AS waste, sum(greatest(y - p * (1 + beta / 20.0), 0)) / greatest(sum(y), 1e-12) AS shortage, sum(p * (1 + beta / 20.0)) / greatest(sum(y), 1e-12) AS provision FROM pr, range(0, 41) b(beta) WHERE {_SEEN} GROUP BY ALL)"
 _BETAS = [k / 20 for k in range(41)]
@@ -115,6 +129,20 @@ def least_provision(s: Study) -> DataFrame:
     return rounded(metrics.least_beta(metrics.utility_curves(_even(s), _BETAS)), 2)
 
 
+#: Steps of 0.01 over 0 to 1.
+_FINE_BETAS = [k / 100 for k in range(101)]
+
+
+@query()
+def utility_curves_fine(s: Study) -> DataFrame:
+    return rounded(metrics.utility_curves(_even(s), _FINE_BETAS).withColumn("beta", F.round("beta", 2)), 6)
+
+
+@query()
+def least_provision_fine(s: Study) -> DataFrame:
+    return rounded(metrics.least_beta(metrics.utility_curves(_even(s), _FINE_BETAS)), 2)
+
+
 @query(f"SELECT method, (isodow(make_timestamp(h * 3600000000)) - 1)::INT AS weekday, hz, metric, count(*) AS n, round({_WAPE}, 6) AS wape FROM pred WHERE {_SEEN} GROUP BY ALL")
 def weekly_heatmap(s: Study) -> DataFrame:
     return rounded(metrics.heatmap(s.predictions), 6)
@@ -154,6 +182,11 @@ def tuned_scales(s: Study) -> DataFrame:
     return rounded(metrics.tune_scales(s.predictions, [k / 10 for k in range(5, 21)]))
 
 
+@query()
+def tuned_scales_fine(s: Study) -> DataFrame:
+    return rounded(metrics.tune_scales(s.predictions, [k / 100 for k in range(50, 201)]))
+
+
 @query("SELECT metric, hz, k::INT AS expert, round(avg(alpha[k]), 7) AS weight, round(avg(a[k]::INT), 7) AS available, round(avg(rho[k]), 7) AS reliability FROM routed, range(1, 9) r(k) GROUP BY ALL")
 def expert_means(s: Study) -> DataFrame:
     return rounded(metrics.expert_means(s.routed))
