@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 10.0
@@ -37,6 +39,10 @@ class Pieces:
     def longest(self) -> int:
         return max(len(self.text[i]) for i in self.normal)
 
+    def neighbours(self) -> np.ndarray:
+        """Every two code points that stand side by side in an ordinary piece, as sorted numbers; no piece crosses others."""
+        return np.array(sorted({ord(a) << 32 | ord(b) for i in self.normal for a, b in zip(self.text[i], self.text[i][1:], strict=False)}), np.uint64)
+
 
 def load(path: str = MODEL) -> Pieces:
     import sentencepiece

@@ -1,16 +1,23 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A word's lattice has an edge for each of its substrings that is a piece.  Encoding:
-
-1. texts are dealt into chunks; a chunk's distinct words are found, so a frequent word
-   is cut once per chunk, however often it occurs;
-2. words explode into substrings of at most the longest piece's length, which are
-   equi-joined with the piece table (a broadcast: its size is the model's);
-3. edges are grouped by word, and a higher-order ``aggregate`` folds them by end: the
-   best score of each place and the edge it came by.  A second fold walks back;
-4. in each chunk the words of its texts are replaced by their ids.
-
-Only one shuffle moves texts, by chunk; everything after it keeps that partitioning.
+A word here is a run of characters in which every two neighbours stand side by side in
+some piece: no piece crosses a word's ends, so words are cut one by one.  A word's
+lattice has an edge for each of its substrings that is a piece.  Encoding:
+
+1. texts are dealt into chunks by hash; a chunk's rows travel as compressed Arrow blocks;
+2. a chunk's distinct words are partitioned by word, so a word is cut once in the corpus;
+3. words explode into substrings of at most the longest piece's length, which are
+   equi-joined with the piece table (a broadcast: its size is the model's).  Long words
+   first fall into overlapping stretches, so that no row repeats a long word;
+4. edges are grouped by word, and a higher-order ``aggregate`` folds them by end, with the
+   scores of the last places only; edges are folded in runs of ``RUN``, so that back
+   pointers are copied within a run.  A second fold walks back.  Both are linear in the
+   word's length;
+5. cuts go back to the chunks that asked for them, again as blocks, and in each chunk the
+   words of its texts are replaced by their ids.
+
+Texts are shuffled once, words once each way.  There are ``SPREAD`` partitions of words for
+each of texts, because a word has tens of edges, which one task sorts.
 
 The pieces are used as a unigram model (see ``pieces``).  A character without a piece
 becomes the pieces of its UTF-8 bytes.  Decoding joins ids to pieces and gives the text
@@ -19,7 +26,8 @@ back, with U+2581 as a space.
 Results: a null or empty text has no ids and decodes to the empty string; doc_id is
 only carried; repeated rows give repeated results; of cuts with equal scores that with
 the longest last piece is taken; an empty table gives no rows; other columns are
-ignored.  Texts are encoded whole; a word without spaces may be a whole text.
+ignored.  Texts are encoded whole; a word may be a whole text, of which one row holds all
+edges (about four a character).
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +44,17 @@ from pyspark.sql import functions as F
 from .common import as_documents, partitions, table
 from .pieces import MARK, MODEL, Pieces, load
 
-_WORD = re.compile(f"{MARK}+[^{MARK}]*")
+_SPACED = re.compile(f"{MARK}+[^{MARK}]*")
+#: Edges that one inner fold takes; characters of a long word that one row holds, in two steps.
+RUN = 256
+STRETCH = (16_384, 128)
+#: Partitions of words for each partition of texts.
+SPREAD = 4
+#: Words of more characters travel beside a digest of theirs, which is their key.
+KEY = 32
+#: Bytes of rows that go into blocks together, and distinct words that a task holds before it hands them on.
+BLOCK_BYTES = 32 << 20
+HELD = 1_000_000
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -44,53 +63,161 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 
 def best_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words with ids: those of the best cut of column ``word``; other columns must tell rows apart.
+    """words(key, word, ...) with ids, those of the best cut, for word; keys are unique, a null word is its key.
 
     An unknown character stands as its negative code point.
     """
-    keys = words.columns
-    edges = words.selectExpr("*", "explode(sequence(0, length(word) - 1)) AS start")
-    edges = edges.selectExpr("*", f"explode(sequence(1, least({pieces.longest}, length(word) - start))) AS size")
-    edges = edges.selectExpr("*", "substring(word, start + 1, size) AS piece")
+    longest, own = pieces.longest, [c for c in words.columns if c != "word"]
+    rows = words.selectExpr(*own, "0 AS at", "coalesce(word, key) AS part", "length(coalesce(word, key)) AS n")
+    for size in STRETCH:
+        rows = rows.selectExpr(*own, "at", "part", "n", f"explode(sequence(0, n - 1, {size})) AS skip")
+        rows = rows.selectExpr(*own, "at + skip AS at", f"substring(part, skip + 1, {size + longest - 1}) AS part", f"least({size}, n - skip) AS n")
+    rows = rows.selectExpr(*own, "at", "part", "explode(sequence(0, n - 1)) AS skip")
+    rows = rows.selectExpr(*own, "at + skip AS start", f"substring(part, skip + 1, {longest}) AS rest")
+    edges = rows.selectExpr(*own, "start", "rest", "explode(sequence(1, length(rest))) AS size")
+    edges = edges.selectExpr(*own, "start", "size", "substring(rest, 1, size) AS piece")
     edges = edges.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece", "left").where("id IS NOT NULL OR size = 1")
-    edges = edges.selectExpr(*keys, f"struct(start + size AS end, start, coalesce(score, {pieces.unknown}D) AS score, coalesce(id, -ascii(piece)) AS id) AS edge")
-    lattice = edges.groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # a: the place being filled and its best edge so far; done: scores of the places before it; back: their edges.
-    start = "named_struct('end', 0, 'score', 0D, 'start', 0, 'id', 0, 'done', cast(array() as array<double>), 'back', cast(array() as array<struct<start:int,id:int>>))"
-    fold = f"""aggregate(edges, {start}, (a, e) -> CASE
-        WHEN e.end = a.end AND get(a.done, e.start) + e.score <= a.score THEN a
-        WHEN e.end = a.end THEN named_struct('end', a.end, 'score', get(a.done, e.start) + e.score, 'start', e.start, 'id', e.id, 'done', a.done, 'back', a.back)
-        ELSE named_struct('end', e.end, 'score', IF(e.start = a.end, a.score, get(a.done, e.start)) + e.score, 'start', e.start, 'id', e.id,
-            'done', concat(a.done, array(a.score)), 'back', concat(a.back, array(named_struct('start', a.start, 'id', a.id)))) END,
-        a -> concat(a.back, array(named_struct('start', a.start, 'id', a.id))))"""
-    walk = """aggregate(sequence(size(back) - 1, 1, -1), named_struct('at', size(back) - 1, 'ids', cast(array() as array<int>)), (a, i) ->
-        IF(i = a.at, named_struct('at', get(back, i).start, 'ids', concat(a.ids, array(get(back, i).id))), a), a -> reverse(a.ids))"""
-    return lattice.select(*keys, F.expr(fold).alias("back")).select(*keys, F.expr(walk).alias("ids"))
+    edges = edges.selectExpr(*own, f"struct(start + size AS end, start, coalesce(score, {pieces.unknown}D) AS score, coalesce(id, -ascii(piece)) AS id) AS edge")
+    lattice = edges.groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # end, score, start, id: the place being filled and its best edge; recent: the scores of the places from low on before it;
+    # back: edges of the places that this run has left behind; done: those of earlier runs.
+    none, both = "cast(array() as array<struct<start:int,id:int>>)", "'end', {0}.end, 'score', {0}.score, 'start', {0}.start, 'id', {0}.id, 'low', {0}.low, 'recent', {0}.recent"
+    start = f"named_struct('end', 0, 'score', 0D, 'start', 0, 'id', 0, 'low', 0, 'recent', cast(array() as array<double>), 'done', cast(array() as array<array<struct<start:int,id:int>>>))"
+    step = f"""CASE
+        WHEN e.end = x.end AND get(x.recent, e.start - x.low) + e.score <= x.score THEN x
+        WHEN e.end = x.end THEN named_struct('end', x.end, 'score', get(x.recent, e.start - x.low) + e.score, 'start', e.start, 'id', e.id, 'low', x.low, 'recent', x.recent, 'back', x.back)
+        ELSE named_struct('end', e.end, 'score', IF(e.start = x.end, x.score, get(x.recent, e.start - x.low)) + e.score, 'start', e.start, 'id', e.id,
+            'low', IF(size(x.recent) < {longest}, x.low, x.low + 1), 'recent', concat(IF(size(x.recent) < {longest}, x.recent, slice(x.recent, 2, {longest - 1})), array(x.score)),
+            'back', concat(x.back, array(named_struct('start', x.start, 'id', x.id)))) END"""
+    # p: a place, from the last one down; at: the next one on the best way.
+    walk = """aggregate(sequence(size(a.done) - 1, 0, -1), named_struct('at', a.start, 'p', a.end - 1, 'out', array(array(a.id))), (w, k) ->
+        aggregate(reverse(get(a.done, k)), named_struct('at', w.at, 'p', w.p, 'ids', cast(array() as array<int>)), (y, s) ->
+            IF(y.p = y.at AND y.p > 0, named_struct('at', s.start, 'p', y.p - 1, 'ids', concat(y.ids, array(s.id))), named_struct('at', y.at, 'p', y.p - 1, 'ids', y.ids)),
+            y -> named_struct('at', y.at, 'p', y.p, 'out', concat(w.out, array(y.ids)))),
+        w -> reverse(flatten(w.out)))"""
+    fold = f"""aggregate(transform(sequence(0, size(edges) - 1, {RUN}), i -> slice(edges, i + 1, {RUN})), {start}, (a, run) ->
+        aggregate(run, named_struct({both.format("a")}, 'back', {none}), (x, e) -> {step}, x -> named_struct({both.format("x")}, 'done', concat(a.done, array(x.back)))), a -> {walk})"""
+    return lattice.select(*own, F.expr(fold).alias("ids"))
+
+
+def split(spaced: list[str], pairs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The words of strings, in order, and the index of each string's first one, with their number at the end."""
+    if not spaced:
+        return [], np.zeros(1, np.int64)
+    text = "".join(spaced)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, spaced), np.int64, len(spaced))
+    begin = np.cumsum(size) - size
+    cut = np.ones(len(points), bool)
+    if len(pairs):
+        two = (points[:-1] << np.uint64(32)) | points[1:]
+        cut[1:] = pairs[np.minimum(np.searchsorted(pairs, two), len(pairs) - 1)] != two
+    cut[begin] = True
+    at = np.flatnonzero(cut)
+    ends = at.tolist() + [len(text)]
+    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.append(np.searchsorted(at, begin), len(at))
+
+
+def _key(word: str) -> str:
+    return word if len(word) <= KEY else "#" + hashlib.md5(word.encode()).hexdigest()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, block): the other columns of a chunk's rows, compressed."""
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+
+    def of(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(waiting)
+        chunk = rows["chunk"].to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        rows = rows.drop_columns("chunk")
+        for part in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                out.write_table(rows.take(pa.array(part)).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[part[0]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "block"])
+
+    waiting, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield from of(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield from of(waiting)
+
+
+def _rows(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _spaced(text: str | None) -> list[str]:
+    return _SPACED.findall(MARK + text.replace(" ", MARK)) if text else []
+
+
+def _words(pairs: np.ndarray):
+    """(chunk, key, word) of the distinct words of chunks; word is null where it is the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, set[str]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for chunk, words in own.items():
+                some = list(words)
+                for part in (some[k : k + 10_000] for k in range(0, len(some), 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(map(_key, part), pa.string()), pa.array([w if len(w) > KEY else None for w in part], pa.string())], ["chunk", "key", "word"])
+            own.clear()
+
+        for batch in batches:
+            for chunk, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                spaced: set[str] = set()
+                for text in _rows(block)["text"].to_pylist():
+                    spaced.update(_spaced(text))
+                own.setdefault(chunk, set()).update(split(list(spaced), pairs)[0])
+                if sum(map(len, own.values())) > HELD:
+                    yield from out()
+        yield from out()
+
+    return run
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None) -> DataFrame:
     """doc_id, text and ids of every row."""
     pieces = load(model)
     n = chunks or partitions(docs.sparkSession)
-    docs = as_documents(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "chunk")
-    # The condition holds for all words; it keeps the columns, and so the shuffle, the same for both uses of docs.
-    found = f"regexp_extract_all(concat('{MARK}', translate(text, ' ', '{MARK}')), '{MARK}+[^{MARK}]*', 0)"
-    words = docs.select(F.col("chunk").alias("part"), "doc_id", F.explode_outer(F.array_distinct(F.expr(found))).alias("word")).where("word IS NOT NULL AND (doc_id IS NOT NULL OR length(word) > 0)").select("part", "word")
-    cuts = best_cuts(words.distinct(), pieces)
-    byte = pieces.byte
+    pairs, byte = pieces.neighbours(), pieces.byte
+    docs = as_documents(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    texts = docs.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
+    asked = texts.mapInArrow(_words(pairs), "chunk int, key string, word string").where("chunk IS NOT NULL AND key IS NOT NULL").repartition(SPREAD * n, "key")
+    # The condition holds for all; with it both sides read the same columns, and so one shuffle.
+    cuts = best_cuts(asked.groupBy("key", "word").agg(F.min("chunk").alias("first")), pieces)
+    back = asked.join(cuts.toDF("key", "first", "ids"), "key").where("chunk >= first AND (word IS NULL OR first >= 0)").select("chunk", "key", "ids")
+    back = back.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
 
     def filled(texts: pa.Table, cuts: pa.Table) -> pa.Table:
-        cut = dict(zip(cuts["word"].to_pylist(), cuts["ids"].to_pylist(), strict=True))
-        for word, ids in cut.items():
+        cut: dict[str, list[int]] = {}
+        for block in cuts["block"].to_pylist():
+            rows = _rows(block)
+            cut.update(zip(rows["key"].to_pylist(), rows["ids"].to_pylist(), strict=True))
+        for key, ids in cut.items():
             if min(ids) < 0:
-                cut[word] = [x for i in ids for x in ([i] if i >= 0 else [byte[b] for b in chr(-i).encode()])]
+                cut[key] = [x for i in ids for x in ([i] if i >= 0 else [byte[b] for b in chr(-i).encode()])]
+        whole: dict[str, list[int]] = {}
         out = []
-        for text in texts["text"].to_pylist():
-            found = _WORD.findall(MARK + text.replace(" ", MARK)) if text else ()
-            out.append([i for w in found for i in cut[w]])
-        return pa.table({"doc_id": texts["doc_id"], "text": texts["text"], "ids": pa.array(out, pa.list_(pa.int32()))})
-
-    return docs.groupBy("chunk").cogroup(cuts.groupBy("part")).applyInArrow(filled, "doc_id long, text string, ids array<int>")
+        for block in texts["block"].to_pylist():
+            rows = _rows(block)
+            found = [_spaced(text) for text in rows["text"].to_pylist()]
+            new = list({s for one in found for s in one} - whole.keys())
+            words, first = split(new, pairs)
+            for s, a, b in zip(new, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                whole[s] = cut[_key(words[a])] if b == a + 1 else [i for w in words[a:b] for i in cut[_key(w)]]
+            ids = pa.array([[i for s in one for i in whole[s]] for one in found], pa.list_(pa.int32()))
+            out.append(pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids}))
+        return pa.concat_tables(out).combine_chunks()
+
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(filled, "doc_id long, text string, ids array<int>")
 
 
 def decoder(pieces: Pieces):
