@@ -38,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,7 @@ def _key(word: str) -> str:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, block): the other columns of a chunk's rows, compressed."""
-    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
 
     def of(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(waiting)
@@ -154,7 +155,11 @@ def _rows(block: bytes) -> pa.Table:
 
 
 def _spaced(text: str | None) -> list[str]:
-    return _SPACED.findall(MARK + text.replace(" ", MARK)) if text else []
+    """The text's parts at spaces, each without its first U+2581; further ones stay in front."""
+    if not text:
+        return []
+    found = text.split(" ") if MARK not in text else [""]
+    return found if "" not in found[:-1] and MARK not in text else [s[1:] for s in _SPACED.findall(MARK + text.replace(" ", MARK))]
 
 
 def _words(pairs: np.ndarray):
@@ -165,7 +170,7 @@ def _words(pairs: np.ndarray):
 
         def out() -> Iterator[pa.RecordBatch]:
             for chunk, words in own.items():
-                some = list(words)
+                some = sorted(words)
                 for part in (some[k : k + 10_000] for k in range(0, len(some), 10_000)):
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(map(_key, part), pa.string()), pa.array([w if len(w) > KEY else None for w in part], pa.string())], ["chunk", "key", "word"])
             own.clear()
@@ -175,7 +180,7 @@ def _words(pairs: np.ndarray):
                 spaced: set[str] = set()
                 for text in _rows(block)["text"].to_pylist():
                     spaced.update(_spaced(text))
-                own.setdefault(chunk, set()).update(split(list(spaced), pairs)[0])
+                own.setdefault(chunk, set()).update(split([MARK + s for s in spaced], pairs)[0])
                 if sum(map(len, own.values())) > HELD:
                     yield from out()
         yield from out()
@@ -183,6 +188,28 @@ def _words(pairs: np.ndarray):
     return run
 
 
+def _taken(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists number at, one after the other, and how many of each; ends: where lists begin, and the end."""
+    size = ends[at + 1] - ends[at]
+    place = np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return values[place], size
+
+
+def _with_bytes(ids: pa.ListArray, byte: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and ends of lists of ids, with bytes' pieces in place of negative code points."""
+    values, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
+    unknown = np.flatnonzero(values < 0)
+    if not len(unknown):
+        return values, ends
+    raw = [chr(-i).encode() for i in values[unknown].tolist()]
+    size = np.ones(len(values), np.int64)
+    size[unknown] = [len(b) for b in raw]
+    begin = np.append(0, np.cumsum(size))
+    values = np.repeat(values, size)
+    values[np.concatenate([np.arange(begin[i], begin[i + 1]) for i in unknown])] = [byte[b] for one in raw for b in one]
+    return values, begin[ends]
+
+
 def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None) -> DataFrame:
     """doc_id, text and ids of every row."""
     pieces = load(model)
@@ -197,24 +224,28 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None) -> Da
     back = back.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
 
     def filled(texts: pa.Table, cuts: pa.Table) -> pa.Table:
-        cut: dict[str, list[int]] = {}
-        for block in cuts["block"].to_pylist():
-            rows = _rows(block)
-            cut.update(zip(rows["key"].to_pylist(), rows["ids"].to_pylist(), strict=True))
-        for key, ids in cut.items():
-            if min(ids) < 0:
-                cut[key] = [x for i in ids for x in ([i] if i >= 0 else [byte[b] for b in chr(-i).encode()])]
-        whole: dict[str, list[int]] = {}
+        known = pa.concat_tables([_rows(block) for block in cuts["block"].to_pylist()] or [pa.table({"key": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})]).combine_chunks()
+        key, cut = known["key"].combine_chunks(), _with_bytes(known["ids"].combine_chunks(), byte)
+        number: dict[str, int] = {}  # of each part of a text
+        ids, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # those of all parts, one after the other
         out = []
         for block in texts["block"].to_pylist():
-            rows = _rows(block)
-            found = [_spaced(text) for text in rows["text"].to_pylist()]
-            new = list({s for one in found for s in one} - whole.keys())
-            words, first = split(new, pairs)
-            for s, a, b in zip(new, first[:-1].tolist(), first[1:].tolist(), strict=True):
-                whole[s] = cut[_key(words[a])] if b == a + 1 else [i for w in words[a:b] for i in cut[_key(w)]]
-            ids = pa.array([[i for s in one for i in whole[s]] for one in found], pa.list_(pa.int32()))
-            out.append(pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": ids}))
+            rows, before = _rows(block), len(number)
+            found = []
+            for text in rows["text"].to_pylist():
+                spaced = _spaced(text)
+                found.append(np.array([number.setdefault(s, len(number)) for s in spaced], np.int64))
+            new = list(number)[before:]
+            words, first = split([MARK + s for s in new], pairs)
+            at = pa.compute.index_in(pa.array(map(_key, words), pa.string()), value_set=key)
+            more, size = _taken(*cut, at.to_numpy(zero_copy_only=False).astype(np.int64))
+            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.append(0, np.cumsum(size))[first[1:]]])
+            offsets, flat = [0], []
+            for parts in found:
+                flat.append(_taken(ids, ends, parts)[0])
+                offsets.append(offsets[-1] + len(flat[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else ids[:0]))
+            out.append(pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": lists}))
         return pa.concat_tables(out).combine_chunks()
 
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(filled, "doc_id long, text string, ids array<int>")
@@ -250,12 +281,15 @@ def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     pieces = load(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = decoder(pieces)
+        back, digits = decoder(pieces), list(map(str, range(len(pieces.text))))
         for batch in batches:
-            ids = batch["ids"].to_pylist()
-            same = [back(i) == (t or "").replace(MARK, " ") for i, t in zip(ids, batch["text"].to_pylist(), strict=True)]
-            sha = [hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i in ids]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(i) for i in ids], pa.int64()), pa.array(sha), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+            n, sha, same = [], [], []
+            for one, text in zip(batch["ids"], batch["text"], strict=True):
+                ids = one.values.to_numpy().tolist() if one.is_valid else []
+                n.append(len(ids))
+                sha.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
+                same.append(back(ids) == (text.as_py() or "").replace(MARK, " "))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
 
     return encoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
