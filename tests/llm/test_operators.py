@@ -121,14 +121,23 @@ def test_cuts_are_the_best(docs, rows):
     assert sorted(map(repr, (r["decoded"] for r in back.collect()))) == sorted(repr((t or "").replace("▁", " ")) for _, t in short)
     counts = {(i, n) for i, n in got(token_counts.count_tokens(df), "doc_id", "n_tokens")}
     assert counts == {(i, len(ids)) for i, _, ids in found}
-    assert all(r["round_trip"] for r in sentencepiece_lattice.digests(encoded).collect())
+    assert all(r["round_trip"] for r in sentencepiece_lattice.digests(df).collect())
 
 
 def test_very_long_texts_have_one_count(docs):
-    a = got(sentencepiece_lattice.digests(sentencepiece_lattice.encode(docs)), "doc_id", "n_tokens")
+    a = got(sentencepiece_lattice.digests(docs), "doc_id", "n_tokens")
     assert a == got(token_counts.count_tokens(docs), "doc_id", "n_tokens")
 
 
+def test_long_texts_without_spaces_are_linear(spark):
+    draw = random.Random(4)
+    rows = [(1, "z" * 200_000), (2, "".join(draw.choices("abcdefghABCDEFGH0123+/", k=200_000))), (3, "日本語" * 30_000)]
+    df = frame(spark, rows)
+    out = sentencepiece_lattice.digests(df).collect()
+    assert all(r["round_trip"] for r in out)
+    assert {(r["doc_id"], r["n_tokens"]) for r in out} == set(got(token_counts.count_tokens(df.where("doc_id <> 1")), "doc_id", "n_tokens")) | {(1, 100_001)}
+
+
 def test_licenses(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0 (the License)"), (2, "SPDX-License-Identifier: MIT"), (3, "all rights reserved. CC-BY all rights reserved"), (4, None), (5, ""), (6, "plain words"), (7, "the GNU General Public License, version 3, general public license"), (None, "cc by")]
     out = {r["doc_id"]: r for r in license_scan.labelled(frame(spark, rows)).collect()}

@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +210,8 @@ def _with_bytes(ids: pa.ListArray, byte: tuple[int, ...]) -> tuple[np.ndarray, n
     return values, begin[ends]
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None) -> DataFrame:
-    """doc_id, text and ids of every row."""
+def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then: Callable[[pa.Table], pa.Table] | None = None, columns: str = "doc_id long, text string, ids array<int>") -> DataFrame:
+    """doc_id, text and ids of every row, or what ``then`` makes of a table of some of them, with these columns."""
     pieces = load(model)
     n = chunks or partitions(docs.sparkSession)
     pairs, byte = pieces.neighbours(), pieces.byte
@@ -245,10 +245,11 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None) -> Da
                 flat.append(_taken(ids, ends, parts)[0])
                 offsets.append(offsets[-1] + len(flat[-1]))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else ids[:0]))
-            out.append(pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": lists}))
+            one = pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": lists})
+            out.append(then(one) if then else one)
         return pa.concat_tables(out).combine_chunks()
 
-    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(filled, "doc_id long, text string, ids array<int>")
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(filled, columns)
 
 
 def decoder(pieces: Pieces):
@@ -276,23 +277,22 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids, and whether decoding gives the text back."""
+def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_tokens, SHA-256 of the ids, and whether decoding gives the text back, of every row; taken where the ids are made."""
     pieces = load(model)
+    back, digits = decoder(pieces), list(map(str, range(len(pieces.text))))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back, digits = decoder(pieces), list(map(str, range(len(pieces.text))))
-        for batch in batches:
-            n, sha, same = [], [], []
-            for one, text in zip(batch["ids"], batch["text"], strict=True):
-                ids = one.values.to_numpy().tolist() if one.is_valid else []
-                n.append(len(ids))
-                sha.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
-                same.append(back(ids) == (text.as_py() or "").replace(MARK, " "))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
+    def of(encoded: pa.Table) -> pa.Table:
+        n, sha, same = [], [], []
+        for one, text in zip(encoded["ids"].combine_chunks(), encoded["text"].combine_chunks(), strict=True):
+            ids = one.values.to_numpy().tolist()
+            n.append(len(ids))
+            sha.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
+            same.append(back(ids) == (text.as_py() or "").replace(MARK, " "))
+        return pa.table({"doc_id": encoded["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())})
 
-    return encoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+    return encode(docs, model, then=of, columns="doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
