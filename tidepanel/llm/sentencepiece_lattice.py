@@ -158,8 +158,9 @@ def _spaced(text: str | None) -> list[str]:
     """The text's parts at spaces, each without its first U+2581; further ones stay in front."""
     if not text:
         return []
-    found = text.split(" ") if MARK not in text else [""]
-    return found if "" not in found[:-1] and MARK not in text else [s[1:] for s in _SPACED.findall(MARK + text.replace(" ", MARK))]
+    if "  " in text or text[0] == " " or MARK in text:
+        return [s[1:] for s in _SPACED.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
 
 
 def _words(pairs: np.ndarray):
@@ -170,7 +171,7 @@ def _words(pairs: np.ndarray):
 
         def out() -> Iterator[pa.RecordBatch]:
             for chunk, words in own.items():
-                some = sorted(words)
+                some = list(words)
                 for part in (some[k : k + 10_000] for k in range(0, len(some), 10_000)):
                     yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(map(_key, part), pa.string()), pa.array([w if len(w) > KEY else None for w in part], pa.string())], ["chunk", "key", "word"])
             own.clear()
@@ -216,12 +217,12 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then:
     n = chunks or partitions(docs.sparkSession)
     pairs, byte = pieces.neighbours(), pieces.byte
     docs = as_documents(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    texts = docs.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
+    texts = docs.mapInArrow(_blocks, "chunk int, block binary").repartitionById(n, "chunk")
     asked = texts.mapInArrow(_words(pairs), "chunk int, key string, word string").where("chunk IS NOT NULL AND key IS NOT NULL").repartition(SPREAD * n, "key")
     # The condition holds for all; with it both sides read the same columns, and so one shuffle.
     cuts = best_cuts(asked.groupBy("key", "word").agg(F.min("chunk").alias("first")), pieces)
     back = asked.join(cuts.toDF("key", "first", "ids"), "key").where("chunk >= first AND (word IS NULL OR first >= 0)").select("chunk", "key", "ids")
-    back = back.mapInArrow(_blocks, "chunk int, block binary").repartition(n, "chunk")
+    back = back.mapInArrow(_blocks, "chunk int, block binary").repartitionById(n, "chunk")
 
     def filled(texts: pa.Table, cuts: pa.Table) -> pa.Table:
         known = pa.concat_tables([_rows(block) for block in cuts["block"].to_pylist()] or [pa.table({"key": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})]).combine_chunks()
@@ -230,19 +231,17 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then:
         ids, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # those of all parts, one after the other
         out = []
         for block in texts["block"].to_pylist():
-            rows, before = _rows(block), len(number)
-            found = []
-            for text in rows["text"].to_pylist():
-                spaced = _spaced(text)
-                found.append(np.array([number.setdefault(s, len(number)) for s in spaced], np.int64))
-            new = list(number)[before:]
+            rows = _rows(block)
+            found = [_spaced(text) for text in rows["text"].to_pylist()]
+            new = list(set().union(*found) - number.keys())
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
             words, first = split([MARK + s for s in new], pairs)
             at = pa.compute.index_in(pa.array(map(_key, words), pa.string()), value_set=key)
             more, size = _taken(*cut, at.to_numpy(zero_copy_only=False).astype(np.int64))
             ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.append(0, np.cumsum(size))[first[1:]]])
             offsets, flat = [0], []
             for parts in found:
-                flat.append(_taken(ids, ends, parts)[0])
+                flat.append(_taken(ids, ends, np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))[0])
                 offsets.append(offsets[-1] + len(flat[-1]))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else ids[:0]))
             one = pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": lists})
