@@ -16,9 +16,12 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    count lies 4.5 standard errors beyond that of the threshold go, as do those whose
    set sizes alone rule it out.
 5. What is left is compared by full sets, and links form components.
-6. Where a bucket still holds nodes of different components, pairs across components
-   pass the sketches and a prefix filter, which is exact, before they are verified.  Pairs within a
-   component add nothing and are never formed.
+6. Where a bucket still holds nodes of different components, all its nodes are paired with
+   ``PIVOTS`` nodes that a hash picks, other ones each round, linear again; links merge
+   components, until a round finds few.  A large group of near copies becomes one component here.
+7. What is then left in other components than most of its bucket is compared with the whole
+   bucket; pairs pass the sketches and a prefix filter, which is exact, before they are verified.
+   Pairs within a component add nothing and are never formed.
 
 Every step is a Spark join or aggregate; tables that are used again are written to
 the shared folder.
@@ -54,6 +57,9 @@ LEAST = 75
 ERRORS = 4.5
 #: Counts that order shingles for the last step: a fixed table, whatever the corpus.
 CELLS = 1 << 16
+#: Nodes of a bucket that a round pairs with all others; rounds end when fewer than one in ``FEW`` pairs is linked, or
+#: after ``ROUNDS``.  They decide how much the last, exact step has to do, not what is found.
+PIVOTS, FEW, ROUNDS = 2, 50, 8
 
 _A, _B = (keys(BANDS * ROWS, s).astype(np.uint32) | np.uint32(1) for s in (21, 22))
 _BAND_KEYS = keys(ROWS, 23)
@@ -174,30 +180,69 @@ def components(docs: DataFrame) -> DataFrame:
     stars = members.selectExpr("inline(array(struct(least AS a, node AS b), struct(node AS a, most AS b)))").where("a < b").distinct()
 
     sketches = signed.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
-    paired = stars.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
-    stars = kept(paired.where(_close("x", "y") & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b"), "stars")
+    stars = kept(_plausible(stars, sketches), "stars")
 
     wanted = members.select("node").distinct()
     texts = as_documents(docs).join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     sets = kept(texts.mapInArrow(_sets, "node long, set binary"), "sets")
 
     tested = verified(stars, sets)
-    roots = groups(tested.where("linked"))
-    across = kept(_across(members, sets, roots, signed.select(F.col("doc_id").alias("node"), "sketch", "bands")).join(tested, ["a", "b"], "left_anti"), "across")
+    held = wanted.join(groups(tested.where("linked")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    held, tested, mixed = _merged(members.select("bucket", "node"), sets, sketches, tested, kept(held, "held"))
+    across = kept(_across(mixed, sets, signed.select(F.col("doc_id").alias("node"), "sketch", "bands")).join(tested, ["a", "b"], "left_anti"), "across")
     if not across.isEmpty():
-        tested = tested.unionByName(verified(across, sets))
-        roots = groups(tested.where("linked"))
+        held = _lifted(held, verified(across, sets))
 
     # One row for each signature with its component, joined to the copies (a hot signature is one key of a skewed join).
-    of = copies.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
+    of = copies.join(held, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("root"))
     of = kept(of, "components")
     out = base.select("doc_id", "n_shingles", "s1", "s2").join(of, ["s1", "s2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
 
 
-def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can be linked, of nodes in buckets of several components.
+def _lifted(held: DataFrame, tested: DataFrame) -> DataFrame:
+    """held(node, root) with components that tested pairs link made one."""
+    links = tested.where("linked").join(held.toDF("a", "ra"), "a").join(held.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    up = groups(links.where("a <> b").distinct()).toDF("root", "up")
+    return kept(held.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "held")
+
+
+def _merged(members: DataFrame, sets: DataFrame, sketches: DataFrame, tested: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """held and tested after the rounds of pivots, and (bucket, node, root) of buckets with several components."""
+    for r in range(ROUNDS + 1):
+        own = members.join(held, "node")
+        picks = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(PIVOTS * r + k)).alias("h"), "node", "root")).alias(f"p{k}") for k in range(PIVOTS)]
+        ends = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), *picks).where("x < y").select("bucket", F.array(*(f"p{k}" for k in range(PIVOTS))).alias("picks"))
+        mixed = kept(own.join(ends, "bucket"), "mixed")
+        members = mixed.select("bucket", "node")
+        if r == ROUNDS or mixed.isEmpty():
+            break
+        pairs = mixed.select("node", F.explode(F.expr("filter(picks, p -> p.root <> root)")).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        more = verified(_plausible(pairs, sketches), sets)
+        n, linked = more.agg(F.count("*"), F.count_if("linked")).first()
+        tested = tested.unionByName(more)
+        if linked:
+            held = _lifted(held, more)
+        if FEW * linked < n or not n:
+            own = members.join(held, "node")
+            mixed = kept(own.join(own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), "bucket"), "mixed")
+            break
+    return held, tested, mixed.select("bucket", "node", "root")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sketches and sizes don't rule out."""
+    rows = pairs.join(sketches.toDF("a", "x", "n"), "a").join(sketches.toDF("b", "y", "m"), "b")
+    return rows.where(_close("x", "y") & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b")
+
+
+def _across(mixed: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked, of mixed(bucket, node, root).
+
+    Of every pair in a bucket one node at least is outside the component that has most nodes
+    there; only such nodes look for others.
 
     Prefix filtering: in any fixed order of shingles, the first ones of two near sets
     (a quarter of the larger, a seventh of the smaller) have one in common.  The order puts
@@ -206,9 +251,6 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, marks: DataFr
     Odd sketches are compared first, and a pair is formed in its first bucket alone;
     marks(node, sketch, bands) has what both need.
     """
-    own = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-    mixed = kept(own.join(mixed, "bucket", "left_semi"), "mixed")
     rows = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "set")
     table = np.zeros(CELLS, np.int64)
     for cell, n in rows.select("set").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
@@ -226,11 +268,14 @@ def _across(members: DataFrame, sets: DataFrame, roots: DataFrame, marks: DataFr
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array(index, pa.int32())], ["node", "n", "probe", "indexed"])
 
     probes = rows.mapInArrow(firsts, "node long, n long, probe array<long>, indexed int").join(marks, "node")
-    found = mixed.join(probes, "node")
-    x, y = found.alias("x"), found.withColumn("index", F.slice("probe", F.lit(1), F.col("indexed"))).drop("probe").alias("y")
-    sized = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND (y.n < x.n OR y.n = x.n AND y.node < x.node) AND 100 * y.n >= {LEAST} * x.n")
+    most = mixed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"))
+    found = mixed.join(most.select("bucket", F.col("most.root").alias("major")), "bucket").join(probes, "node")
+    x, y = found.where("root <> major").alias("x"), found.withColumn("index", F.slice("probe", F.lit(1), F.col("indexed"))).alias("y")
+    # Of two such nodes the greater looks for the smaller.
+    sized = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND (y.root = y.major OR y.node < x.node) AND 100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
     once = F.expr("array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = array_position(x.bands, x.bucket)")
-    near = sized & _close("x.sketch", "y.sketch") & once & F.expr("arrays_overlap(x.probe, y.index)")
+    overlap = F.expr("IF(y.n < x.n OR y.n = x.n AND y.node < x.node, arrays_overlap(x.probe, y.index), arrays_overlap(y.probe, slice(x.probe, 1, x.indexed)))")
+    near = sized & _close("x.sketch", "y.sketch") & once & overlap
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
