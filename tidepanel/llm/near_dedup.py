@@ -9,16 +9,17 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    threshold shares no band with probability 5e-6; above it, less.
 2. Texts with one signature collapse to the least doc_id (partial minima first), so
    a hot group of copies is one node from here on.
-3. In every bucket (band and key) all nodes are paired with the least and with the
-   greatest node, a number of pairs linear in the bucket.
+3. In every bucket (band and key) all nodes are paired with the least node, a number of
+   pairs linear in the bucket.
 4. An odd sketch holds the parity of how many MinHash values fall on each of its 512
    bits, so the XOR of two sketches counts the values that differ; pairs whose
    count lies 4.5 standard errors beyond that of the threshold go, as do those whose
    set sizes alone rule it out.
 5. What is left is compared by full sets, and links form components.
-6. Where a bucket still holds nodes of different components, all its nodes are paired with
-   ``PIVOTS`` nodes that a hash picks, other ones each round, linear again; links merge
-   components, until a round finds few.  A large group of near copies becomes one component here.
+6. Where a bucket still holds nodes of different components, those outside the component with
+   most nodes there are paired with ``PIVOTS`` nodes of it that a hash picks, other ones each
+   round, linear again; links merge components, until a round finds few.  A large group of near
+   copies becomes one component here.
 7. What is then left in other components than most of its bucket is compared with the whole
    bucket; pairs pass the sketches and a prefix filter, which is exact, before they are verified.
    Pairs within a component add nothing and are never formed.
@@ -57,7 +58,9 @@ LEAST = 75
 ERRORS = 4.5
 #: Counts that order shingles for the last step: a fixed table, whatever the corpus.
 CELLS = 1 << 16
-#: Nodes of a bucket that a round pairs with all others; rounds end when fewer than one in ``FEW`` pairs is linked, or
+#: Shingles that go along to the last step, at least.
+WHOLE = 256
+#: Nodes of a bucket that a round pairs with others; rounds end when fewer than one in ``FEW`` pairs is linked, or
 #: after ``ROUNDS``.  They decide how much the last, exact step has to do, not what is found.
 PIVOTS, FEW, ROUNDS = 2, 50, 8
 
@@ -175,9 +178,9 @@ def components(docs: DataFrame) -> DataFrame:
     # Buckets with two nodes or more; what else a bucket needs to know is its ends.
     signed = known.join(nodes.select(F.col("node").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     members = signed.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
-    ends = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
+    ends = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").drop("most")
     members = kept(members.join(ends, "bucket"), "buckets")
-    stars = members.selectExpr("inline(array(struct(least AS a, node AS b), struct(node AS a, most AS b)))").where("a < b").distinct()
+    stars = members.select(F.col("least").alias("a"), F.col("node").alias("b")).where("a < b").distinct()
 
     sketches = signed.select(F.col("doc_id").alias("node"), "sketch", "n_shingles")
     stars = kept(_plausible(stars, sketches), "stars")
@@ -209,27 +212,32 @@ def _lifted(held: DataFrame, tested: DataFrame) -> DataFrame:
 
 
 def _merged(members: DataFrame, sets: DataFrame, sketches: DataFrame, tested: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """held and tested after the rounds of pivots, and (bucket, node, root) of buckets with several components."""
+    """held and tested after the rounds of pivots, and (bucket, node, root, major) of buckets with several components.
+
+    major is the component with most nodes in the bucket.
+    """
     for r in range(ROUNDS + 1):
         own = members.join(held, "node")
-        picks = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(PIVOTS * r + k)).alias("h"), "node", "root")).alias(f"p{k}") for k in range(PIVOTS)]
-        ends = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), *picks).where("x < y").select("bucket", F.array(*(f"p{k}" for k in range(PIVOTS))).alias("picks"))
-        mixed = kept(own.join(ends, "bucket"), "mixed")
-        members = mixed.select("bucket", "node")
-        if r == ROUNDS or mixed.isEmpty():
+        picks = [F.min(F.struct(F.xxhash64("node", "bucket", F.lit(PIVOTS * r + k)).alias("h"), "node")).alias(f"p{k}") for k in range(PIVOTS)]
+        parts = own.groupBy("bucket", "root").agg(F.count("*").alias("n"), *picks)
+        most = parts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", F.col("root").alias("major"), F.array(*(F.col(f"p{k}.node") for k in range(PIVOTS))).alias("picks"))).alias("most"))
+        mixed = kept(own.join(most.where("roots > 1").select("bucket", "most.major", "most.picks"), "bucket"), "mixed")
+        if r == ROUNDS:
             break
-        pairs = mixed.select("node", F.explode(F.expr("filter(picks, p -> p.root <> root)")).alias("p")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        more = verified(_plausible(pairs, sketches), sets)
+        pairs = mixed.where("root <> major").select("node", F.explode("picks").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        more = verified(_plausible(pairs.distinct().join(tested, ["a", "b"], "left_anti"), sketches), sets)
         n, linked = more.agg(F.count("*"), F.count_if("linked")).first()
-        tested = tested.unionByName(more)
+        if not n:
+            break
+        members, tested = mixed.select("bucket", "node"), tested.unionByName(more)
         if linked:
             held = _lifted(held, more)
-        if FEW * linked < n or not n:
+        if FEW * linked < n:  # one more look at what is mixed, and no more pairs
             own = members.join(held, "node")
-            mixed = kept(own.join(own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket"), "bucket"), "mixed")
+            most = own.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("n", F.col("root").alias("major"))).alias("most"))
+            mixed = kept(own.join(most.where("roots > 1").select("bucket", "most.major"), "bucket"), "mixed")
             break
-    return held, tested, mixed.select("bucket", "node", "root")
+    return held, tested, mixed.select("bucket", "node", "root", "major")
 
 
 def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -239,15 +247,17 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def _across(mixed: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can be linked, of mixed(bucket, node, root).
+    """Pairs (a, b) of different components that can be linked, of mixed(bucket, node, root, major).
 
     Of every pair in a bucket one node at least is outside the component that has most nodes
     there; only such nodes look for others.
 
-    Prefix filtering: in any fixed order of shingles, the first ones of two near sets
-    (a quarter of the larger, a seventh of the smaller) have one in common.  The order puts
-    shingles of few sets first (by a table of ``CELLS`` counts), so that sets which
-    share a common passage, but not enough else, have nothing in common up front.
+    Prefix filtering: in one fixed order of all shingles, what two sets share outside their
+    first p and q shingles is a last part of what they share, so at most max(n - p, m - q); the
+    first ones must have the rest of what near sets share in common.  ``WHOLE`` shingles go along
+    at least, so that shorter sets are compared in full.  The order puts shingles of few sets first (by a
+    table of ``CELLS`` counts), so that long sets which share a common passage, but not enough
+    else, have little in common up front.
     Odd sketches are compared first, and a pair is formed in its first bucket alone;
     marks(node, sketch, bands) has what both need.
     """
@@ -258,23 +268,21 @@ def _across(mixed: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, probes, index = [], [], []
+            size, probes = [], []
             for one in batch["set"].to_pylist():
                 own = np.frombuffer(one, np.uint64)
                 n = len(own)
                 size.append(n)
-                index.append(n - -(-2 * LEAST * n // (100 + LEAST)) + 1)
-                probes.append(own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-LEAST * n // 100) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64())), pa.array(index, pa.int32())], ["node", "n", "probe", "indexed"])
-
-    probes = rows.mapInArrow(firsts, "node long, n long, probe array<long>, indexed int").join(marks, "node")
-    most = mixed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"))
-    found = mixed.join(most.select("bucket", F.col("most.root").alias("major")), "bucket").join(probes, "node")
-    x, y = found.where("root <> major").alias("x"), found.withColumn("index", F.slice("probe", F.lit(1), F.col("indexed"))).alias("y")
+                probes.append(own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[: max(WHOLE, n - -(-LEAST * n // 100) + 1)]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64()))], ["node", "n", "probe"])
+
+    probes = rows.mapInArrow(firsts, "node long, n long, probe array<long>").join(marks, "node")
+    found = mixed.join(probes, "node")
+    x, y = found.where("root <> major").alias("x"), found.alias("y")
     # Of two such nodes the greater looks for the smaller.
     sized = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND (y.root = y.major OR y.node < x.node) AND 100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
     once = F.expr("array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = array_position(x.bands, x.bucket)")
-    overlap = F.expr("IF(y.n < x.n OR y.n = x.n AND y.node < x.node, arrays_overlap(x.probe, y.index), arrays_overlap(y.probe, slice(x.probe, 1, x.indexed)))")
+    overlap = F.expr(f"size(array_intersect(x.probe, y.probe)) >= ceil({LEAST} * (x.n + y.n) / {100 + LEAST}D - 1e-9) - greatest(x.n - size(x.probe), y.n - size(y.probe))")
     near = sized & _close("x.sketch", "y.sketch") & once & overlap
     return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
