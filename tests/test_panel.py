@@ -17,6 +17,7 @@ TABLES = ("events", "part", "supplier", "customer", "orders")
 SOME = (
     "last_week_wape", "windows_positional_gaps", "expert_week_trend", "request_context", "fixed_mixture_forecast", "hit_scores", "daily_filter_daily_scores", "frozen_hit_scores",
     "mask_block", "mask_mixed", "exposure_rates", "unique_rates", "error_volume_spearman", "key_alignment_problems", "set_relation", "hash_folds", "request_locality", "bootstrap_point", "metric_features", "forecast_file_cells",
+    "candidate_configurations", "configuration_scores", "configuration_selected", "synthetic_request",
 )
 
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")

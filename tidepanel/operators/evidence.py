@@ -99,8 +99,13 @@ def raw_medians(history: DataFrame) -> DataFrame:
     return history.groupBy("cell", "origin_h", "metric").agg(F.median("x").alias("raw_median"))
 
 
-#: Weight sets of the candidate grid (lag 1, 7, 14, median 7, median 14, trend) and scales, in order.
-GRID_WEIGHTS = (("weekly_median", (0.0, 0.5, 0.0, 0.5, 0.0, 0.0)), ("weekly", (0.2, 0.8, 0.0, 0.0, 0.0, 0.0)), ("robust", (0.1, 0.3, 0.2, 0.2, 0.2, 0.0)), ("trend", (0.0, 0.3, 0.1, 0.2, 0.1, 0.3)))
+#: Weight sets of the candidate grid (lag 1, 7, 14, median 7, median 14, trend) and scales, in order.
+GRID_WEIGHTS = (
+    ("lag7", (0.0, 1.0, 0.0, 0.0, 0.0, 0.0)),
+    ("weekly_80_20", (0.0, 0.80, 0.20, 0.0, 0.0, 0.0)),
+    ("weekly_median", (0.0, 0.70, 0.20, 0.10, 0.0, 0.0)),
+    ("weekly_trend", (0.0, 0.70, 0.10, 0.10, 0.0, 0.10)),
+)
 GRID_SCALES = (0.94, 0.97, 1.0, 1.03, 1.06)
 
 

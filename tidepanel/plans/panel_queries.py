@@ -114,7 +114,16 @@ def seasonal_blend_forecast(s: Study) -> DataFrame:
     return rounded(evidence.seasonal_forecast(s.targets, s.panel, raw, _ROBUST, 0.97).select("cell", "origin_h", "hz", "metric", "p"), 6)
 
 
-_GRID = ", ".join(f"({k * 5 + j}, '{n}_s{round(c * 100):03d}', {list(w)}::DOUBLE[], {c})" for k, (n, w) in enumerate(evidence.GRID_WEIGHTS) for j, c in enumerate(evidence.GRID_SCALES))
+#: The candidate grid once more, for the SQL.
+_SETS = {"lag7": "[0, 1, 0, 0, 0, 0]", "weekly_80_20": "[0, 0.8, 0.2, 0, 0, 0]", "weekly_median": "[0, 0.7, 0.2, 0.1, 0, 0]", "weekly_trend": "[0, 0.7, 0.1, 0.1, 0, 0.1]"}
+_GRID = ", ".join(f"({5 * k + j}, '{n}_s{c}', {w}::DOUBLE[], {int(c) / 100})" for k, (n, w) in enumerate(_SETS.items()) for j, c in enumerate(("094", "097", "100", "103", "106")))
+_EACH = " + ".join(f"abs(y[{k}] - p[{k}]) / y[{k}]" for k in range(1, 5))
+_HITS = f"""g(idx, name, w, scale) AS (VALUES {_GRID}), b AS (SELECT *, {_BLEND} AS c FROM e0 WHERE layer = 'inner'),
+    f AS (SELECT idx, name, cell, origin_h, hz, metric, y, {_blend_sql('w', 'scale')} AS p FROM b, g),
+    fw AS (SELECT idx, name, cell, origin_h, hz, list(y ORDER BY metric) AS y, list(p ORDER BY metric) AS p, count(y) AS n FROM f GROUP BY ALL),
+    fq AS (SELECT {", ".join(f"quantile_cont(y[{k}], 0.05) AS q{k}" for k in range(1, 5))} FROM fw WHERE idx = 0 AND n = 4),
+    fe AS (SELECT idx, name, ({_EACH}) / 4 AS e FROM fw, fq WHERE n = 4 AND y[1] >= q1 AND y[2] >= q2 AND y[3] >= q3 AND y[4] >= q4),
+    fs AS (SELECT idx, name, count(*) AS samples, avg(e) AS mean_mape, (avg((e < 0.2)::INT) + avg((e < 0.3)::INT) + avg((e < 0.4)::INT) + avg((e < 0.5)::INT)) / 4 AS auc FROM fe GROUP BY ALL)"""
 
 
 @query("SELECT idx::INT AS idx, name, scale::DOUBLE AS scale FROM (VALUES " + _GRID + ") g(idx, name, w, scale)")
@@ -122,25 +131,24 @@ def candidate_configurations(s: Study) -> DataFrame:
     return evidence.candidate_grid(s.spark).select("idx", "name", "scale")
 
 
-@query(f""", g(idx, name, w, scale) AS (VALUES {_GRID}), b AS (SELECT *, {_BLEND} AS c FROM e0 WHERE layer = 'inner'),
-    f AS (SELECT idx, name, metric, y, {_blend_sql('w', 'scale')} AS p FROM b, g),
-    m AS (SELECT idx, name, metric, sum(abs(y - p)) / sum(y) AS wape FROM f WHERE y IS NOT NULL GROUP BY ALL)
-    SELECT idx::INT AS idx, name, round(avg(wape), 7) AS macro_wape FROM m GROUP BY ALL""")
-def configuration_scores(s: Study) -> DataFrame:
+def _configuration_hits(s: Study) -> DataFrame:
     grid = evidence.candidate_grid(s.spark)
     inner = s.targets.where("layer = 'inner'").crossJoin(F.broadcast(grid))
     weights = [F.get("weights", F.lit(k)) for k in range(6)]
-    rows = evidence.seasonal_forecast(inner, s.panel, evidence.raw_medians(s.history), weights, F.col("scale"))
-    per = rows.where("y IS NOT NULL").groupBy("idx", "name", "metric").agg(metrics.wape().alias("wape"))
-    return rounded(per.groupBy("idx", "name").agg(F.avg("wape").alias("macro_wape")))
+    rows = evidence.seasonal_forecast(inner, s.panel, evidence.raw_medians(s.history), weights, F.col("scale")).withColumnRenamed("name", "method")
+    scores = metrics.hit_scores(metrics.official_filter(metrics.wide_rows(rows)))
+    return scores.join(F.broadcast(grid.select("idx", F.col("name").alias("method"))), "method").select("idx", F.col("method").alias("name"), "samples", "mean_mape", "auc")
+
+
+@query(f", {_HITS} SELECT idx::INT AS idx, name, samples, round(mean_mape, 7) AS mean_mape, round(auc, 7) AS auc FROM fs")
+def configuration_scores(s: Study) -> DataFrame:
+    return rounded(_configuration_hits(s))
 
 
-@query(f""", g(idx, name, w, scale) AS (VALUES {_GRID}), b AS (SELECT *, {_BLEND} AS c FROM e0 WHERE layer = 'inner'),
-    f AS (SELECT idx, name, metric, y, {_blend_sql('w', 'scale')} AS p FROM b, g),
-    m AS (SELECT idx, name, metric, sum(abs(y - p)) / sum(y) AS wape FROM f WHERE y IS NOT NULL GROUP BY ALL)
-    SELECT name FROM (SELECT idx, name, round(avg(wape), 9) AS v FROM m GROUP BY ALL) ORDER BY v, idx LIMIT 1""")
+@query(f", {_HITS} SELECT name FROM fs ORDER BY round(auc, 9) DESC, idx LIMIT 1")
 def configuration_selected(s: Study) -> DataFrame:
-    scores = configuration_scores(s).select("name", F.struct(F.col("macro_wape").alias("v"), "idx").alias("key"))
+    # The greatest mean hit rate; of equal ones the first in the grid's order.
+    scores = _configuration_hits(s).select("name", F.struct((-F.round("auc", 9)).alias("v"), "idx").alias("key"))
     return scores.agg(F.min_by("name", "key").alias("name"))
 
 
@@ -249,9 +257,11 @@ def patch_unfold(s: Study, where: str) -> DataFrame:
     return rounded(rows.select("cell", "origin_h", "metric", "patch", F.size("values").cast("bigint").alias("n"), weighted.alias("weighted")), 4)
 
 
-@query("SELECT i AS i, round(2.0 * exp(0.5 * sin(i * (2 * pi() / 24) - 1.2) + 0.1 * sin(i * (2 * pi() / 168) + 0.4)), 7) AS m0, round(12.0 * exp(0.5 * sin(i * (2 * pi() / 24) - 1.2) + 0.4 * sin(i * (2 * pi() / 168) + 0.4)), 7) AS m3 FROM range(336) r(i)")
+@query("""SELECT i, round((18 + 13 * d + 4 * c) * f, 7) AS m0, round((26 + 22 * d + 7 * c) * f, 7) AS m1, round((32 + 33 * d + 10 * c) * f, 7) AS m2, round((14 + 18 * d + 7 * c) * f, 7) AS m3
+    FROM (SELECT i, greatest(0, sin(pi() * (i % 24 - 6) / 16.0)) AS d, exp(-pow((i % 24 - 9) / 2.5, 2)) + 0.8 * exp(-pow((i % 24 - 19) / 3.0, 2)) AS c,
+    CASE WHEN isodow(timestamp '2026-07-01' + to_hours(i)) > 5 THEN 0.88 ELSE 1 END * (1 + 0.025 * sin(2 * pi() * i / 168)) AS f FROM range(336) r(i))""")
 def synthetic_request(s: Study) -> DataFrame:
-    return rounded(sources.synthetic_request(s.spark).select("i", "m0", "m3"))
+    return rounded(sources.synthetic_request(s.spark).select("i", "m0", "m1", "m2", "m3"))
 
 
 @query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%Y/%-m/%-d %-H:00') AS time, CASE WHEN m2 IS NULL THEN 'NIL' ELSE printf('%.4f', greatest(m2, 1e-4)) END AS value, m2 IS NULL AS missing FROM wide")

@@ -142,10 +142,17 @@ def write_wide(predictions: DataFrame, path: str, methods: list[str], compressio
     wide.select(*[F.col(c) if c in keys else F.coalesce(F.col(c).cast("string"), F.lit("NIL")).alias(c) for c in wide.columns]).write.option("header", True).option("compression", compression).csv(path)
 
 
+#: Fixed values of the sample request: first day, and for each indicator the base, daytime and commute parts.
+SAMPLE_START = "2026-07-01"
+SAMPLE_PARTS = ((18.0, 13.0, 4.0), (26.0, 22.0, 7.0), (32.0, 33.0, 10.0), (14.0, 18.0, 7.0))
+
+
 def synthetic_request(spark: SparkSession, hours: int = 336) -> DataFrame:
-    """A deterministic request of one cell: daily and weekly waves."""
-    i = F.col("i")
-    day, week = F.sin(i * (2 * math.pi / 24) - 1.2), F.sin(i * (2 * math.pi / 168) + 0.4)
-    base = [2.0, 4.0, 30.0, 12.0]
+    """A deterministic request of one cell: a daytime arch, two commute peaks, quieter weekends and a slow weekly wave."""
+    hour = F.col("i") % 24
+    peak = lambda at, width: F.exp(-F.pow((hour - at) / width, F.lit(2.0)))
+    day, commute = F.greatest(F.lit(0.0), F.sin(math.pi * (hour - 6) / 16.0)), peak(9.0, 2.5) + 0.8 * peak(19.0, 3.0)
+    weekend = F.when(F.weekday(F.expr(f"date_add(date'{SAMPLE_START}', cast(i div 24 as int))")) >= 5, 0.88).otherwise(1.0)
+    whole = weekend * (1.0 + 0.025 * F.sin(2.0 * math.pi * F.col("i") / 168.0))
     rows = spark.range(hours).select(F.col("id").alias("i"))
-    return rows.select("i", F.lit("synthetic-cell").alias("cell"), *[(F.lit(b) * F.exp(0.5 * day + 0.1 * (k + 1) * week)).alias(f"m{k}") for k, b in enumerate(base)])
+    return rows.select("i", F.lit("synthetic-cell").alias("cell"), *[((a + b * day + c * commute) * whole).alias(m) for m, (a, b, c) in zip(METRICS, SAMPLE_PARTS, strict=True)])
