@@ -80,6 +80,7 @@ VARIANTS = {
     "no_static": lambda c: c not in ("azimuth", "scene_code", "px", "py"),
     "no_weather": lambda c: c not in ("weather_code", "temperature", "humidity", "rain", "wind"),
     "traffic_only": lambda c: c == "horizon" or c[:2] in METRICS,
+    "compact": lambda c: c not in ("weather_code", "temperature", "humidity", "rain", "wind") and not c.endswith(("log_baseline", "_seen", "missing_ratio")),
 }
 
 

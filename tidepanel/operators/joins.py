@@ -59,3 +59,18 @@ def set_relation(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.distinct().withColumn("l_", F.lit(1)), right.distinct().withColumn("r_", F.lit(1))
     rows = a.join(b, columns, "full_outer").agg(F.count_if(F.expr("l_ = 1 AND r_ = 1")).alias("common"), F.count_if(F.expr("r_ IS NULL")).alias("only_left"), F.count_if(F.expr("l_ IS NULL")).alias("only_right"))
     return rows.withColumn("jaccard", F.col("common") / F.greatest(F.col("common") + F.col("only_left") + F.col("only_right"), F.lit(1)))
+
+
+def concatenated(parts: Sequence[DataFrame], label: str = "method") -> DataFrame:
+    """All parts in one table; an error when it runs unless each part has the same labels."""
+    rows = parts[0].withColumn("part_", F.lit(0))
+    for k, part in enumerate(parts[1:], 1):
+        rows = rows.unionByName(part.withColumn("part_", F.lit(k)))
+    sets = rows.groupBy("part_").agg(F.sort_array(F.collect_set(label)).alias("set_")).agg(F.countDistinct("set_").alias("sets_"), F.count("*").alias("parts_"))
+    good = F.when((F.col("sets_") == 1) & (F.col("parts_") == len(parts)), True).otherwise(F.raise_error(F.lit(f"parts differ in {label}")).cast("boolean"))
+    return rows.crossJoin(F.broadcast(sets)).where(good).drop("part_", "sets_", "parts_")
+
+
+def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows, with their number of copies, that only one side has."""
+    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

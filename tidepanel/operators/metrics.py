@@ -241,3 +241,36 @@ def structural_maxima(rows: DataFrame) -> DataFrame:
     lost = F.array_max(F.zip_with("alpha", "a", lambda w, ok: F.when(~ok, w).otherwise(0.0)))
     outside = F.greatest(F.col("low") - F.col("routed"), F.col("routed") - F.col("high"), F.lit(0.0))
     return rows.agg(F.max(lost).alias("max_unavailable_weight"), F.max(outside).alias("max_envelope_violation"), F.count("*").alias("rows"))
+
+
+def indicator_hits(filtered: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
+    """Per metric, samples and the mean hit rate of rows that pass the joint filter."""
+    one = filtered.select(*by, F.posexplode(F.arrays_zip("y", "p")).alias("metric", "e")).withColumn("e", F.abs(F.col("e.y") - F.col("e.p")) / F.col("e.y"))
+    auc = sum((F.avg((F.col("e") < t).cast("double")) for t in HIT_THRESHOLDS), F.lit(0.0)) / len(HIT_THRESHOLDS)
+    return one.groupBy(*by, "metric").agg(F.count("*").alias("samples"), auc.alias("auc"))
+
+
+def standard_table(rows: DataFrame, filtered: DataFrame) -> DataFrame:
+    """Metrics of all wide rows and of filtered ones by method and metric, with macro rows (metric -1) as means of the four."""
+    long = lambda d, name: d.select(F.lit(name).alias("filter"), "method", F.posexplode(F.arrays_zip("y", "p")).alias("metric", "e")).select("filter", "method", "metric", "e.y", "e.p")
+    one = indicator_metrics(long(rows, "observed").unionByName(long(filtered, "official")), ("filter", "method", "metric"))
+    whole = one.groupBy("filter", "method").agg(F.lit(-1).alias("metric"), F.sum("n").alias("n"), *[F.avg(c).alias(c) for c in ("mae", "rmse", "wape", "smape")])
+    return one.unionByName(whole)
+
+
+def horizon_hours(targets: DataFrame) -> DataFrame:
+    """Distinct pairs of horizon (from 0) and hour of day, and whether the two are always equal, hence not to be told apart."""
+    pairs = targets.select((F.col("hz") - 1).alias("horizon"), F.pmod("h", F.lit(24)).alias("hour")).distinct()
+    return pairs.agg(F.lit(24 * 24).cast("long").alias("possible"), F.count("*").alias("observed"), F.bool_and(F.col("horizon") == F.col("hour")).alias("collinear"))
+
+
+def changed_mass(clean: DataFrame, corrupt: DataFrame, by: Sequence[str] = ("metric",)) -> DataFrame:
+    """Mean weight on experts whose value, availability or reliability differs from the clean ones, and its complement.
+
+    clean(v, a, rho) and corrupt(v, a, rho, alpha), one row for each request, horizon and metric.
+    """
+    keys = ["cell", "origin_h", "hz", "metric"]
+    both = corrupt.select(*keys, "v", "a", "rho", "alpha").join(clean.select(*keys, *[F.col(c).alias(f"{c}0") for c in ("v", "a", "rho")]), keys)
+    other = lambda e: (e["a"] != e["a0"]) | (F.abs(e["rho"] - e["rho0"]) > 1e-6) | (F.abs(e["v"] - e["v0"]) > 1e-6)
+    mass = F.aggregate(F.arrays_zip("v", "a", "rho", "alpha", "v0", "a0", "rho0"), F.lit(0.0), lambda s, e: s + F.when(other(e), e["alpha"]).otherwise(0.0))
+    return both.withColumn("mass", mass).groupBy(*by).agg(F.avg("mass").alias("changed_mass"), F.avg(1 - F.col("mass")).alias("avoidance"))

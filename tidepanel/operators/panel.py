@@ -118,3 +118,8 @@ def round_robin_folds(cells: DataFrame, n: int = 5) -> DataFrame:
     names = cells.select("cell").distinct()
     ranked = names.withColumn("fold", ((F.dense_rank().over(Window.orderBy("cell")) - 1) % n).cast("int"))
     return cells.join(ranked, "cell")
+
+
+def on_days(windows: DataFrame, days: DataFrame) -> DataFrame:
+    """windows whose first target hour falls on one of days(day), counted since 1970."""
+    return windows.withColumn("day", F.floor(F.col("origin_h") / DAY)).join(F.broadcast(days.select("day").distinct()), "day", "left_semi").drop("day")

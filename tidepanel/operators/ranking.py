@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,26 +58,39 @@ def stable_order(rows: DataFrame, tokens: Sequence[Column | str], by: Sequence[s
     return rows.withColumn("stable_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2(text, 256), *position)))
 
 
-def quotas(strata: DataFrame, total: int) -> DataFrame:
-    """strata(stratum, n) with quota: one each, then proportional, then by largest remainder (hash of the name on ties).
+#: Tokens of the strata's order (fixed values).
+STRATUM_TOKEN, REMAINDER_TOKEN = "revision8-stratum", "revision8-remainder"
 
-    Strata are few: they are ranked in one window over themselves.
+
+def quotas(strata: DataFrame, total: int, seed: int = 42) -> DataFrame:
+    """strata(stratum, n) with quota, summing to total.
+
+    One each, or, with fewer than strata, one for the first by hash; then proportional
+    whole shares of what is left as long as there are any, then one each by the greatest
+    remainder, ties by hash.  Strata are bins, so their counts are a small table.
     """
-    k = strata.count()
-    rest = max(0, total - k)
-    whole = strata.crossJoin(F.broadcast(strata.agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("free"))))
-    exact = rest * F.greatest(F.col("n") - 1, F.lit(0)) / F.greatest(F.col("free"), F.lit(1))
-    rows = whole.withColumn("floor_", F.floor(exact)).withColumn("part", F.round(exact - F.floor(exact), 12))
-    rows = rows.withColumn("left_", F.lit(rest) - F.sum("floor_").over(Window.partitionBy()))
-    order = F.row_number().over(Window.orderBy(F.desc("part"), F.sha2("stratum", 256)))
-    return rows.withColumn("quota", F.least(F.col("n"), 1 + F.col("floor_") + (order <= F.col("left_")).cast("long"))).select("stratum", "n", "quota")
+    counts = {r["stratum"]: r["n"] for r in strata.select("stratum", "n").collect()}
+    if not 0 < total <= sum(counts.values()):
+        raise ValueError(f"{total} of {sum(counts.values())} rows")
+    place = lambda token, name: hashlib.sha256(f"{token}|{seed}|{name}".encode()).hexdigest()
+    quota = {name: 0 for name in counts} | {name: 1 for name in sorted(counts, key=lambda name: place(STRATUM_TOKEN, name))[:total]}
+    while left := total - sum(quota.values()):
+        room = {name: n - quota[name] for name, n in counts.items() if n > quota[name]}
+        shares = {name: divmod(left * n, sum(room.values())) for name, n in room.items()}
+        if any(whole for whole, _ in shares.values()):
+            gains = {name: whole for name, (whole, _) in shares.items()}
+        else:
+            gains = dict.fromkeys(sorted(room, key=lambda name: (-shares[name][1], place(REMAINDER_TOKEN, name)))[:left], 1)
+        quota |= {name: quota[name] + n for name, n in gains.items()}
+    return strata.sparkSession.createDataFrame([(name, counts[name], quota[name]) for name in sorted(counts)], "stratum string, n long, quota long")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, total: int, tokens: Sequence[str], position: Sequence[str]) -> DataFrame:
     """The first rows of each stratum in stable order, as many as its quota."""
     strata = rows.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"))
+    size = quotas(strata, total).select(F.col("stratum").alias("of_stratum_"), F.col("quota").alias("quota_"))
     ranked = stable_order(rows, tokens, by=[stratum], position=position)
-    return ranked.join(F.broadcast(quotas(strata, total)).drop("n"), F.col(stratum) == F.col("stratum")).where("stable_rank <= quota").drop("stratum", "quota")
+    return ranked.join(F.broadcast(size), F.col(stratum) == F.col("of_stratum_")).where("stable_rank <= quota_").drop("of_stratum_", "quota_")
 
 
 def evenly_spaced(rows: DataFrame, order: Sequence[str], count: int) -> DataFrame:

@@ -76,3 +76,14 @@ def loss_terms(rows: DataFrame, residual: Column | None = None) -> DataFrame:
     residual = residual if residual is not None else F.lit(0.0)
     doubt = F.aggregate(F.zip_with("alpha", "rho", lambda w, r: w * (1 - r)), F.lit(0.0), lambda s, t: s + t)
     return rows.groupBy("metric").agg(F.avg(F.abs(F.log1p("y") - F.col("routed"))).alias("l1"), F.avg(residual * residual).alias("residual"), F.avg(doubt).alias("doubt"))
+
+
+def deletion_effects(rows: DataFrame, expert: Column, weights: Sequence[float] = FIXED) -> DataFrame:
+    """rows(alpha, routed, v, a, rho) with the deleted expert, its weight and the change of the log forecast when routed anew.
+
+    Rows whose expert is null stay out.  Weights are renormalized over what is left, not cut from the old ones.
+    """
+    rows = rows.withColumn("deleted", expert).where("deleted IS NOT NULL")
+    rows = rows.withColumn("weight", F.get("alpha", F.col("deleted"))).withColumn("before", F.col("routed"))
+    anew = routed(without_expert(rows, F.col("deleted")), fixed_mixture(weights=weights))
+    return anew.withColumn("change", F.abs(F.col("routed") - F.col("before")))
