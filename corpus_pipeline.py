@@ -15,8 +15,8 @@ from tidepanel.llm.common import kept, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their language's and source's limits."""
-    return quality_rules.keep_good(docs)
+    """Documents that pass the base rules and their language's and source's limits, which junk in up to half of a group does not raise."""
+    return quality_rules.keep_good(docs, fence="lower")
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -167,3 +167,32 @@ def viterbi(text: str | None, pieces) -> list[int]:
         out[:0] = best[end][2]
         end = best[end][1]
     return out
+
+
+def license_words(text: str | None) -> list[str]:
+    out, own = [], ""
+    for c in (text or "") + " ":
+        if c.isascii() and not c.isalnum():
+            out += [own] if own else []
+            own = ""
+        else:
+            own += c.lower() if c.isascii() else c
+    return out
+
+
+def license_base(text: str | None) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels)."""
+    w, found = license_words(text), []
+    for phrase, label in ((("cc", "by"), "cc-by"), (("general", "public", "license"), "gpl"), (("all", "rights", "reserved"), "reserved")):
+        found += [(k, label) for k in range(len(w)) if tuple(w[k : k + len(phrase)]) == phrase]
+    at = [k for k, _ in found]
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def license_labels(text: str | None, rules) -> set:
+    """Labels of rules (label, rank, expression) that no detection of the same or a better rank contains."""
+    joined, found = " " + " ".join(license_words(text)) + " ", []
+    for n, (label, rank, expression) in enumerate(rules):
+        found += [(rank, m.start(), m.end(), n, label) for m in re.finditer(f"(?<= ){expression}(?= )", joined)]
+    inside = lambda x, y: y[0] <= x[0] and y[1] <= x[1] and x[2] <= y[2] and y[:4] != x[:4] and (y[0] < x[0] or (y[1], y[2]) != (x[1], x[2]) or y[3] < x[3])
+    return {x[4] for x in found if not any(inside(x, y) for y in found)}

@@ -160,14 +160,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that leak an item."""
     dirty = kept(leaks(docs, benchmark).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("leaking")).distinct(), "leaks")
-    return docs.join(dirty, F.col("doc_id") == F.col("leaking"), "left_anti")
+    return docs.join(dirty, F.col("doc_id") == dirty["leaking"], "left_anti")
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose own text leaks an item, whatever their doc_id."""
     keyed = docs.select(row_key().alias("doc_id"), "text")
     dirty = kept(leaks(keyed, benchmark).select(F.col("doc_id").alias("leaking_key")).distinct(), "leaks")
-    return docs.join(dirty, row_key() == F.col("leaking_key"), "left_anti")
+    return docs.join(dirty, row_key() == dirty["leaking_key"], "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -298,8 +298,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id."""
-    gone = kept(components(docs).where("NOT kept").select("doc_id").distinct(), "copies")
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id")), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = kept(components(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "copies")
+    return docs.join(gone, F.col("doc_id") == gone["gone_id"], "left_anti")
 
 
 def first_rows(docs: DataFrame) -> DataFrame:
@@ -311,12 +311,12 @@ def first_rows(docs: DataFrame) -> DataFrame:
     first = nodes.join(ids, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("least"))
     first = kept(first.select(F.col("least.key").alias("first_key")), "first")
     gone = kept(nodes.join(first, F.col("key") == F.col("first_key"), "left_anti").select(F.col("key").alias("gone_key")), "copies")
-    out = docs.join(gone, row_key() == F.col("gone_key"), "left_anti")
+    out = docs.join(gone, row_key() == gone["gone_key"], "left_anti")
     again = nodes.where("n > 1").select(F.col("key").alias("again_key"))
     if again.isEmpty():
         return out
-    once = out.join(again, row_key() == F.col("again_key"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, row_key() == F.col("again_key"), "left_anti").unionByName(once)
+    once = out.join(again, row_key() == again["again_key"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, row_key() == again["again_key"], "left_anti").unionByName(once)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,14 @@ def sketches(counts: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "measure", F.expr(f"shiftleft(shiftright(x, {bits}), {bits})").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """lang, source, and a limit for each measure, by merging sketches upwards."""
+def limits(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, fence: str = "upper") -> DataFrame:
+    """lang, source, and a limit for each measure, by merging sketches upwards.
+
+    fence "upper": the upper quartile plus spread quartile ranges.  "lower": the median plus
+    2 * spread + 1 times its distance from the lower quartile, the same for a symmetric
+    measure, and not raised by junk in up to half of a group.
+    """
+    above = {"upper": f"q75 + {spread} * (q75 - q25)", "lower": f"q50 + {2 * spread + 1} * (q50 - q25)"}[fence]
     sketch.createOrReplaceTempView("quality_sketch")
     floors = " ".join(f"WHEN '{m}' THEN greatest({f}, q50 * {t} div 100)" for m, (f, t) in MEASURES.items())
     pick = ", ".join(f"max(CASE WHEN measure = '{m}' THEN coalesce(own, by_lang, overall) END) AS max_{m}" for m in MEASURES)
@@ -111,7 +117,7 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD)
                 min(CASE WHEN upto >= (3 * total + 3) div 4 THEN bucket END) AS q75
             FROM ranked GROUP BY level, lang, source, measure),
         fence AS (
-            SELECT level, lang, source, measure, total, greatest(q75 + {spread} * (q75 - q25), CASE measure {floors} END) AS top FROM quartiles),
+            SELECT level, lang, source, measure, total, greatest({above}, CASE measure {floors} END) AS top FROM quartiles),
         chosen AS (
             SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= {min_group} THEN a.top END AS own, CASE WHEN b.total >= {min_group} THEN b.top END AS by_lang, c.top AS overall
             FROM fence a JOIN fence b ON b.level = 1 AND b.lang <=> a.lang AND b.measure = a.measure JOIN fence c ON c.level = 0 AND c.measure = a.measure
@@ -119,9 +125,9 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD)
         SELECT lang, source, {pick} FROM chosen GROUP BY lang, source""")
 
 
-def judged(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
+def judged(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, fence: str = "upper") -> DataFrame:
     """counted(docs) with the group's limits, base_failed and kept."""
-    top = kept(limits(sketches(counted(docs, windows=False)), min_group, spread), "limits").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"max_{m}" for m in MEASURES])
+    top = kept(limits(sketches(counted(docs, windows=False)), min_group, spread, fence), "limits").select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *[f"max_{m}" for m in MEASURES])
     top = F.broadcast(top) if top.count() <= BROADCAST_GROUPS else top
     rows = counted(docs)
     rows = rows.join(top, rows.lang.eqNullSafe(top.of_lang) & rows.source.eqNullSafe(top.of_source), "left").drop("of_lang", "of_source")
@@ -130,9 +136,9 @@ def judged(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) ->
     return rows.withColumn("kept", F.expr(f"CASE WHEN base_failed THEN false ELSE {passes} END"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, fence: str = "upper") -> DataFrame:
     """The rows of docs that pass."""
-    return judged(docs).where("kept").select("doc.*")
+    return judged(docs, fence=fence).where("kept").select("doc.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
