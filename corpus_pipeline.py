@@ -48,7 +48,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", encoded),
 ]
 
-#: SimHash candidates and piece lattices are not SQL; tests hold run() against brute force.
+#: SimHash candidates and piece lattices are not SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 

@@ -141,21 +141,56 @@ def base_quality(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
 
+def quality_limits(counts: list[tuple], spread: int = 8, least: int = 50) -> dict:
+    """{(lang, source): limits of the three measures} of (lang, source, measures), from medians and lower quartiles."""
+
+    def top(values: list[int], k: int) -> int:
+        bits = lambda x: max(x.bit_length() - 6, 0)
+        v = sorted(x >> bits(x) << bits(x) for x in values)
+        q25, q50 = v[(len(v) + 3) // 4 - 1], v[(len(v) + 1) // 2 - 1]
+        return max(q50 + (2 * spread + 1) * (q50 - q25), (100, 0, 500)[k], q50 * (0, 150, 0)[k] // 100)
+
+    out = {}
+    for lang, source in {c[:2] for c in counts}:
+        levels = [[c[2] for c in counts if c[:2] == (lang, source)], [c[2] for c in counts if c[0] == lang], [c[2] for c in counts]]
+        rows = next((x for x in levels[:2] if len(x) >= least), levels[2])
+        out[lang, source] = tuple(top([r[k] for r in rows], k) for k in range(3))
+    return out
+
+
+def good(rows) -> list[tuple]:
+    """The rows (doc_id, text, lang, source) that pass the base rules and the limits of their group."""
+    measured = []
+    for i, t, lang, source in rows:
+        n, chars, symbols, dup, _, failed = base_quality(t)
+        lines = sum(1 for x in (t or "").split("\n") if words(x))
+        measured.append(((i, t, lang, source), failed, (symbols * 1000 // n, chars * 100 // n, dup * 1000 // lines) if n else None))
+    top = quality_limits([(r[2], r[3], m) for r, _, m in measured if m])
+    return [r for r, failed, m in measured if not failed and all(x <= y for x, y in zip(m, top[r[2:]], strict=True))]
+
+
+def first_of_near(rows) -> list[tuple]:
+    """One row (doc_id, text) of each component of texts, that with the least doc_id, and all rows without words."""
+    own = sorted(dict.fromkeys(r for r in rows if words(r[1])), key=lambda r: LAST if r[0] is None else r[0])
+    parts = near([(k, t) for k, (_, t) in enumerate(own)])
+    return [r for r, p in zip(own, parts, strict=True) if p[3]] + [r for r in rows if not words(r[1])]
+
+
 def viterbi(text: str | None, pieces) -> list[int]:
     """Ids of the best cut of a whole text, place by place; ties to the longest last piece."""
     if not text:
         return []
     t = "▁" + text.replace(" ", "▁")
-    known = {pieces.text[i]: i for i in pieces.normal}
+    known, longest, unknown = {pieces.text[i]: i for i in pieces.normal}, pieces.longest, pieces.unknown
     best: list[tuple[float, int, list[int]]] = [(0.0, 0, [])]
     for end in range(1, len(t) + 1):
         top = None
-        for size in range(min(end, pieces.longest), 0, -1):
+        for size in range(min(end, longest), 0, -1):
             piece = t[end - size : end]
             if piece in known:
                 score, ids = pieces.score[known[piece]], [known[piece]]
             elif size == 1:
-                score, ids = pieces.unknown, [pieces.byte[b] for b in piece.encode()]
+                score, ids = unknown, [pieces.byte[b] for b in piece.encode()]
             else:
                 continue
             total = best[end - size][0] + score
