@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hash_uniform
+from ..functions import hash_uniform, hour_timestamp
 
 MECHANISMS = ("mcar", "block", "recent_tail", "asynchronous")
 RATES = (0.1, 0.2, 0.3, 0.5)
@@ -89,31 +89,89 @@ def missing_bin(share: Column) -> Column:
     return F.when(share <= 0, "zero").when(share <= 0.10, "low").when(share <= 0.25, "mid").otherwise("high")
 
 
-def _request_seed(*tokens) -> int:
-    return int.from_bytes(hashlib.sha256("|".join(map(str, tokens)).encode()).digest()[:8], "little")
+def _seeded(text: str):
+    import numpy as np
 
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little"))
 
-def request_local(history: DataFrame, rate: float, seed: int, mechanism: str = "random") -> DataFrame:
-    """history with removed: an exact share of each request's hours, drawn by a seeded generator.
 
-    random: hours without replacement; block: consecutive hours; staggered: the block
-    moved by 53 hours for each metric.
-    """
+def _of_request(cell: str, start: str, mechanism: str, rate: float) -> list:
+    """A share of the 336 hours: the same for all metrics, or drawn for each (asynchronous)."""
+    n = min(336, round(rate * 336))
+    if n <= 0:
+        return [[]] * 4
+    rng = _seeded(f"revision4_missingness|{cell}|{start}|{mechanism}|{rate}")
+    if mechanism == "asynchronous":
+        return [rng.choice(336, size=n, replace=False) for _ in range(4)]
+    at = {"mcar": lambda: rng.choice(336, size=n, replace=False), "block": lambda: int(rng.integers(0, 336 - n + 1)) + _range(n), "recent_tail": lambda: 336 - n + _range(n)}[mechanism]()
+    return [at] * 4
+
+
+def _of_lock_box(cell: str, start: str, mechanism: str, size: float) -> list:
+    """A random share, or a block of that many hours, for all metrics."""
+    rng = _seeded(f"paper_experiments_v2|base_seed=42|cell={cell}|target_start={start}|mode={mechanism}|severity={size}")
+    at = {"random": lambda: rng.choice(336, size=round(336 * size), replace=False), "block": lambda: int(rng.integers(0, 336 - int(size) + 1)) + _range(int(size))}[mechanism]()
+    return [at] * 4
+
+
+def _of_each_metric(cell: str, start: str, mechanism: str, size: float) -> list:
+    """A share drawn for each metric, or a block that moves on by 53 hours from its own start with the metric's number."""
+    out = []
+    for metric in range(4):
+        rng = _seeded(f"revision2_evidence_v1|async|{cell}|{start}|{mechanism}|{size}|metric={metric}")
+        span = 336 - int(size) + 1
+        out.append({"independent_random": lambda rng=rng: rng.choice(336, size=round(336 * size), replace=False), "staggered_block": lambda rng=rng, k=metric: (int(rng.integers(0, span)) + k * 53) % span + _range(int(size))}[mechanism]())
+    return out
+
+
+def _range(n: int):
     import numpy as np
-    import pandas as pd
-
-    def draw(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(_request_seed(seed, *key, mechanism))
-        n = round(rate * 336)
-        rows["removed"] = False
-        if n:
-            start = int(rng.integers(0, 336 - n + 1))
-            chosen = rng.choice(336, n, replace=False)
-            if mechanism == "random":
-                rows["removed"] = rows["off"].isin(chosen)
-            else:
-                moved = start + (53 * rows["metric"] if mechanism == "staggered" else 0)
-                rows["removed"] = (rows["off"] - moved % (336 - n + 1)).between(0, n - 1)
-        return rows[["cell", "origin_h", "off", "metric", "removed"]]
-
-    return history.groupBy("cell", "origin_h").applyInPandas(draw, "cell string, origin_h long, off int, metric int, removed boolean")
+
+    return np.arange(n)
+
+
+#: Protocols that corrupt each request by itself; the texts of their seeds are fixed values.
+REQUEST_PROTOCOLS = {"request": _of_request, "lock_box": _of_lock_box, "each_metric": _of_each_metric}
+
+
+def request_masks(requests: DataFrame, protocol: str, scenes: Sequence[tuple[str, float]]) -> DataFrame:
+    """requests(cell, origin_h) by mechanism, size and metric, with offs: the removed hours of the history, from 0.
+
+    The draws repeat a seeded generator, so they are made row by row in Arrow batches; one
+    row holds at most 336 hours, and nothing is shuffled.
+    """
+    import pyarrow as pa
+
+    draw = REQUEST_PROTOCOLS[protocol]
+
+    def run(batches):
+        for batch in batches:
+            rows = [(cell, h, mechanism, float(size), metric, sorted(map(int, offs))) for cell, h, start in zip(*(c.to_pylist() for c in batch.columns), strict=True) for mechanism, size in scenes for metric, offs in enumerate(draw(cell, start, mechanism, size))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.list_(pa.int32())), strict=True)], ["cell", "origin_h", "mechanism", "size", "metric", "offs"])
+
+    start = F.date_format(hour_timestamp("origin_h"), "yyyy-MM-dd'T'HH:mm:ss")
+    return requests.select("cell", "origin_h", start.alias("start")).mapInArrow(run, "cell string, origin_h long, mechanism string, size double, metric int, offs array<int>")
+
+
+def with_removed(history: DataFrame, masks: DataFrame) -> DataFrame:
+    """history with removed, by the masks of one mechanism and size."""
+    rows = history.join(masks.select("cell", "origin_h", "metric", "offs"), ["cell", "origin_h", "metric"], "left")
+    return rows.withColumn("removed", F.coalesce(F.array_contains("offs", F.col("off")), F.lit(False))).drop("offs")
+
+
+def mask_overlap(masks: DataFrame) -> DataFrame:
+    """By mechanism and size: requests, share removed of each metric, mean Jaccard index of two metrics' masks, requests with four equal masks."""
+    one = masks.groupBy("mechanism", "size", "cell", "origin_h").agg(F.transform(F.sort_array(F.collect_list(F.struct("metric", "offs"))), lambda m: m["offs"]).alias("m"))
+    pairs = [f"coalesce(size(array_intersect(m[{i}], m[{j}])) / nullif(size(array_union(m[{i}], m[{j}])), 0), 0D)" for i in range(4) for j in range(i + 1, 4)]
+    one = one.selectExpr("mechanism", "size", "m", f"({' + '.join(pairs)}) / 6 AS jaccard", "m[0] = m[1] AND m[1] = m[2] AND m[2] = m[3] AS same")
+    shares = F.array(*[F.round(F.sum(F.size(F.col("m")[k])) / (F.count("*") * 336), 9) for k in range(4)])
+    return one.groupBy("mechanism", "size").agg(F.count("*").alias("requests"), shares.alias("shares"), F.avg("jaccard").alias("mean_jaccard"), F.count_if("same").alias("identical"))
+
+
+def report(history: DataFrame) -> DataFrame:
+    """One flat row for history(removed, x): rates by distinct (cell, h, metric) as unique_*, by exposure in windows as exposure_*."""
+    parts = [rates(rows).select(*[F.col(c).alias(f"{prefix}_{c}") for c in ("original", "selected", "newly_removed", "final")]) for prefix, rows in (("unique", unique_rows(history)), ("exposure", history))]
+    # Both sides are global aggregates of one row.
+    both = parts[0].withColumn("k", F.lit(1)).join(parts[1].withColumn("k", F.lit(1)), "k").drop("k")
+    return both.select(F.lit("absolute_cell_timeline").alias("corruption_scope"), F.lit("tail of each cell's unique evaluated timeline").alias("recent_tail_definition"), "*")
