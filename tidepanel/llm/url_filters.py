@@ -126,6 +126,7 @@ def filed(urls: DataFrame, found: list[Rule]) -> list[str | None]:
     if not own:
         return [None] * len(found)
     names = spark.createDataFrame([(t,) for t in own], "token string")
+    names = F.broadcast(names) if len(own) <= SHIPPED else names  # else tokens would be dealt by name before they are counted
     counts = urls.select(F.explode(_tokens()).alias("token")).join(names, "token", "left_semi").groupBy("token").count()
     count = dict(map(tuple, counts.collect()))  # one row a token of the rule list at most
     return [min(r.tokens, key=lambda t: (count.get(t, 0), t)) if r.tokens else None for r in found]
