@@ -137,3 +137,46 @@ def fingerprint(rows: DataFrame, columns: Sequence[str], digits: int = 6) -> Dat
     text = F.concat_ws("|", *[F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")), F.lit("null")) for c in columns])
     part = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("decimal(20,0)")
     return rows.agg(F.count("*").alias("rows"), F.sum(part).cast("decimal(38,0)").alias("digest"))
+
+
+def standard_names() -> list[str]:
+    """The 175 columns of standard_rows in order: horizon, calendar and place, then each metric's lags, spans and age."""
+    names = ["horizon", "target_hour_sin", "target_hour_cos", "target_dow_sin", "target_dow_cos", "is_weekend", "azimuth_sin", "azimuth_cos", "scene_code", "x", "y"]
+    for k in range(len(METRICS)):
+        for lag in BACK_HOURS:
+            names += [f"origin_lag{lag}_m{k}", f"origin_lag{lag}_mask_m{k}"]
+        names += [f"roll{span}_{s}_m{k}" for span in SPANS for s in ("mean", "std", "median", "min", "max", "missing_ratio")]
+        names.append(f"last_observed_age_m{k}")
+    return names
+
+
+def standard_rows(windows: DataFrame, panel: DataFrame, history: DataFrame, parameters: DataFrame | None = None) -> DataFrame:
+    """cell, origin_h, h, hz, day_rank, layer and 175 columns for each request and horizon.
+
+    Everything about the past is computed once a request; only the calendar is by horizon.
+    Missing lags and empty spans take the median of the window's observed logs (0 without
+    any).  parameters(cell, azimuth, scene_code, px, py): where a cell stands; 0 if unknown.
+    """
+    keys = ["cell", "origin_h"]
+    rows = span_statistics(history).join(back_values(windows, panel), [*keys, "metric"])
+    fallback = F.coalesce("median_336", F.lit(0.0))
+    own = {f"origin_lag{k}": F.coalesce(f"back{k}", fallback) for k in BACK_HOURS} | {f"origin_lag{k}_mask": F.col(f"back{k}").isNotNull().cast("double") for k in BACK_HOURS}
+    for span in SPANS:
+        own |= {f"roll{span}_{s}": F.coalesce(f"{s}_{span}", fallback) for s in ("mean", "median", "min", "max")} | {f"roll{span}_std": F.col(f"sd_{span}"), f"roll{span}_missing_ratio": F.col(f"missing_{span}")}
+    own["last_observed_age"] = F.col("age").cast("double")
+    wide_rows = rows.select(*keys, "metric", *[c.alias(n) for n, c in own.items()]).groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == k, F.col(n))).alias(f"{n}_m{k}") for k in range(len(METRICS)) for n in own])
+    out = windows.join(wide_rows, keys).withColumn("hz", F.explode(F.sequence(F.lit(1), F.lit(24)))).withColumn("h", F.col("origin_h") + F.col("hz") - 1)
+    out = calendar(out).withColumnsRenamed({"hour_sin": "target_hour_sin", "hour_cos": "target_hour_cos", "day_sin": "target_dow_sin", "day_cos": "target_dow_cos", "weekend": "is_weekend"})
+    place = {"azimuth": F.lit(0.0), "scene_code": F.lit(0.0), "px": F.lit(0.0), "py": F.lit(0.0)}
+    if parameters is not None:
+        out = out.join(parameters.select("cell", *place), "cell", "left")
+        place = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in place}
+    turn = F.radians(F.pmod(place["azimuth"], F.lit(360.0)))
+    out = out.withColumns({"azimuth_sin": F.sin(turn), "azimuth_cos": F.cos(turn), "scene_code": place["scene_code"], "x": place["px"], "y": place["py"]})
+    return out.select(*keys, "h", "hz", "day_rank", "layer", *standard_names())
+
+
+def with_targets(rows: DataFrame, panel: DataFrame) -> DataFrame:
+    """rows with t0 to t3, the logs of the four actual values (null where missing)."""
+    wide_logs = panel.groupBy("cell", "h").agg(*[F.max(F.when(F.col("metric") == k, F.col("z"))).alias(f"t{k}") for k in range(len(METRICS))])
+    return rows.join(wide_logs, ["cell", "h"])
