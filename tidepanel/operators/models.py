@@ -93,13 +93,3 @@ def quantile_scales(predictions: DataFrame, taus: Sequence[float] = (0.5, 0.7, 0
     by = Window.partitionBy("method", "metric")
     rows = rows.withColumn("upto", F.sum("w").over(by.orderBy("r"))).withColumn("all", F.sum("w").over(by))
     return rows.groupBy("method", "metric").agg(*[F.min(F.when(F.col("upto") >= t * F.col("all"), F.col("r"))).alias(f"scale_{round(t * 100)}") for t in taus])
-
-
-def gradient_boosting(rows: DataFrame, features: Sequence[str], target: str, trees: int = 20, depth: int = 5, seed: int = 42):
-    """A fitted pipeline of gradient-boosted trees with absolute loss."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    model = GBTRegressor(featuresCol="features_", labelCol=target, lossType="absolute", maxIter=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features_"), model]).fit(rows.where(f"`{target}` IS NOT NULL"))
