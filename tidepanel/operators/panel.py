@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import epoch_hour, hash_bucket, to_log
+from .ranking import global_rank
 
 HISTORY, HORIZON, DAY = 336, 24, 24
 METRICS = ("m0", "m1", "m2", "m3")
@@ -115,8 +116,7 @@ def hash_folds(cells: DataFrame, n: int = 5) -> DataFrame:
 
 def round_robin_folds(cells: DataFrame, n: int = 5) -> DataFrame:
     """cells with fold = rank of the sorted name modulo n."""
-    names = cells.select("cell").distinct()
-    ranked = names.withColumn("fold", ((F.dense_rank().over(Window.orderBy("cell")) - 1) % n).cast("int"))
+    ranked = global_rank(cells.select("cell").distinct(), ["cell"]).select("cell", (F.col("rank") % n).cast("int").alias("fold"))
     return cells.join(ranked, "cell")
 
 

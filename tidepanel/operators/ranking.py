@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
+
 
 def average_rank(value: Column | str, by: Sequence[str] = ()) -> Column:
     """Ranks from 1, of ties their mean."""
@@ -52,9 +54,26 @@ def random_expert(uniform: Column, excluded: Column, available: Column | str = "
     return F.get(choices, F.floor(uniform * F.size(choices)).cast("int"))
 
 
+def global_rank(rows: DataFrame, order: Sequence[str], name: str = "rank", start: int = 0) -> DataFrame:
+    """rows with their number in the order (ties in any order), without a task that holds them all.
+
+    Rows are dealt by range and sorted within parts, and stored with part and place; a
+    part's offset is the number of rows in the parts before, one number a part.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    placed = stored(dealt.withColumn("part_", F.shiftright(place, 33)).withColumn("place_", place.bitwiseAND(F.lit((1 << 33) - 1))), "ranked")
+    counts = sorted(map(tuple, placed.groupBy("part_").count().collect()))
+    offsets = [(part, start + sum(n for _, n in counts[:k])) for k, (part, _) in enumerate(counts)]
+    table = rows.sparkSession.createDataFrame(offsets, "part_ long, offset_ long")
+    return placed.join(F.broadcast(table), "part_").withColumn(name, F.col("offset_") + F.col("place_")).drop("part_", "place_", "offset_")
+
+
 def stable_order(rows: DataFrame, tokens: Sequence[Column | str], by: Sequence[str] = (), position: Sequence[str] = ()) -> DataFrame:
     """rows with a rank (from 1) by the SHA-256 of tokens."""
     text = F.concat_ws("|", *[(F.col(t) if isinstance(t, str) else t).cast("string") for t in tokens])
+    if not by:
+        return global_rank(rows.withColumn("stable_hash_", F.sha2(text, 256)), ["stable_hash_", *position], "stable_rank", 1).drop("stable_hash_")
     return rows.withColumn("stable_rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.sha2(text, 256), *position)))
 
 
@@ -97,7 +116,7 @@ def evenly_spaced(rows: DataFrame, order: Sequence[str], count: int) -> DataFram
     """count rows at even distances of the order: ranks floor(k * (n - 1) / (count - 1))."""
     n = rows.count()
     wanted = sorted({int(k * (n - 1) / max(count - 1, 1)) for k in range(min(count, n))})
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("rank").isin(wanted))
+    return global_rank(rows, order).where(F.col("rank").isin(wanted)).withColumn("rank", F.col("rank").cast("int"))
 
 
 def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:

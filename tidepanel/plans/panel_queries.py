@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import array_median, epoch_hour, hash_uniform
-from ..operators import evidence, features, metrics, panel, routing
+from ..operators import evidence, features, metrics, panel, ranking, routing
 from .study import Study, query, query_and_whole, rounded
 
 
@@ -52,10 +52,8 @@ def gap_records(s: Study) -> DataFrame:
 
 @query(", f AS (SELECT cell, h, row_number() OVER (ORDER BY cell, h) - 1 AS k FROM spine WHERE h % 397 <> 13), g AS (SELECT *, k // 336 AS block, h - lag(h) OVER (PARTITION BY k // 336 ORDER BY k) AS d FROM f) SELECT block, min(cell) AS cell, count(*) AS n_rows, count(*) FILTER (d <> 1) AS gaps, count(*) = 336 AND count(DISTINCT cell) = 1 AS valid FROM g GROUP BY block")
 def windows_physical_blocks(s: Study) -> DataFrame:
-    from pyspark.sql import Window
-
     # The order of a file is stood in for by (cell, h).
-    rows = s.wide.where("h % 397 <> 13").withColumn("file_row", F.row_number().over(Window.orderBy("cell", "h")) - 1)
+    rows = ranking.global_rank(s.wide.where("h % 397 <> 13"), ["cell", "h"], "file_row")
     return panel.physical_windows(rows)
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import FLOOR, clip, col
+from ..functions.storage import stored
+from ..operators.ranking import global_rank
 
 #: The traffic file's header: time, cell, and the four indicators (fixed values).
 TRAFFIC_HEADER = ("时间", "小区名称", "小区上行平均激活用户数", "小区下行平均激活用户数", "下行平均使用的PRB个数", "上行平均使用的PRB个数")
@@ -54,22 +56,24 @@ def read_rows(spark: SparkSession, path: str, required: tuple[str, ...] = ()) ->
 def read_traffic(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """file_row, ts, cell and m0..m3 of a traffic file.
 
-    file_row numbers the rows in file order; the file is read as one partition for it,
-    as its order carries meaning only within one file.
+    file_row numbers the rows in file order.  Splits of the file are read side by side; a
+    row's number is its place in its split and the rows of the splits before.
     """
     names = checked_header(spark, path, TRAFFIC_HEADER, exact=strict)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path).coalesce(1)
-    raw = raw.withColumn("file_row", F.monotonically_increasing_id())
+    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
+    split = {"file_": F.col("_metadata.file_path"), "block_": F.col("_metadata.file_block_start"), "id_": F.monotonically_increasing_id()}
+    raw = stored(raw.withColumns(split), "traffic")
+    blocks = raw.groupBy("file_", "block_").agg(F.min("id_").alias("first_"), F.count("*").alias("n_")).orderBy("file_", "block_").collect()  # one row a split
+    offsets = [(r["file_"], r["block_"], sum(x["n_"] for x in blocks[:k]) - r["first_"]) for k, r in enumerate(blocks)]
+    raw = raw.join(F.broadcast(spark.createDataFrame(offsets, "file_ string, block_ long, offset_ long")), ["file_", "block_"]).withColumn("file_row", F.col("id_") + F.col("offset_"))
     cell = F.when(F.length(F.trim("c1")) > 0, F.trim("c1")).otherwise(F.raise_error(F.lit("empty cell name")).cast("string"))
     return raw.select("file_row", parse_time("c0", strict).alias("ts"), cell.alias("cell"), *[parse_metric(f"c{i + 2}", strict).alias(m) for i, m in enumerate(METRICS)])
 
 
 def label_codes(df: DataFrame, label: str, code: str) -> DataFrame:
     """df with the rank of each label among the sorted distinct ones."""
-    from pyspark.sql import Window
-
-    codes = df.select(label).distinct().withColumn(code, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    codes = global_rank(df.select(label).distinct(), [label], code).withColumn(code, F.col(code).cast("int"))
     return df.join(F.broadcast(codes) if codes.count() < 100_000 else codes, label, "left")
 
 
