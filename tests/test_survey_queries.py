@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidepanel import sources
-from tidepanel.operators import audit, inference, joins, ranking
+from tidepanel.operators import audit, inference, joins, ranking, resampling
 from tidepanel.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -84,7 +84,7 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
 def test_poisson_interval_is_near_that_of_the_multinomial(spark):
     rows = [(f"c{k}", 0, 1.0 + math.sin(k), 1.2 + math.sin(3 * k), 10.0) for k in range(200)]
     sums = spark.createDataFrame(rows, "cluster string, metric int, a double, b double, y double")
-    one, two = (inference.interval(d).first() for d in (inference.poisson_wapes(sums, 500, 7), inference.bootstrap(sums, 2000, 7)))
+    one, two = (inference.interval(d).first() for d in (inference.poisson_wapes(sums, 500, 7), resampling.wape_deltas(sums, 2000, 7)))
     width = two["high"] - two["low"]
     assert abs(one["low"] - two["low"]) < 0.2 * width and abs(one["high"] - two["high"]) < 0.2 * width
 

@@ -1,7 +1,6 @@
-"""Cluster bootstraps: sums per cluster by Spark, resampling of those sums by numpy.
+"""Sums by cluster, point estimates and intervals, and resampling by Poisson weights that SQL can repeat.
 
-The sums are one row for each cluster and indicator.  Replicates are dealt over tasks,
-each with a generator of its own, so nothing depends on how many tasks there are.
+Draws of exactly as many clusters as there are stand in ``resampling``.
 """
 
 from __future__ import annotations
@@ -10,17 +9,12 @@ import hashlib
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
 from .metrics import HIT_THRESHOLDS, T4
 
-#: The sums travel to every task of replicates: so many rows at most, else an error.
-MOST_ROWS = 2_000_000
-
 
 def cluster_sums(predictions: DataFrame, first: str, second: str, cluster: str = "cell") -> DataFrame:
     """Absolute errors of two methods and absolute values by cluster and metric, of clusters with values."""
@@ -41,59 +35,10 @@ def bootstrap_seed(base: int, *tokens) -> int:
     return (base + int(hashlib.sha256("|".join(map(str, tokens)).encode()).hexdigest()[:8], 16)) % 2**32
 
 
-def bootstrap(sums: DataFrame, replicates: int = 5000, seed: int = 42, block: int = 250) -> DataFrame:
-    """Replicates, interval at 95 % and P(delta < 0) of wape_delta, clusters drawn with replacement."""
-    spark = sums.sparkSession
-    if sums.count() > MOST_ROWS:
-        raise ValueError(f"over {MOST_ROWS} rows of cluster sums")
-    table = sums.toPandas().sort_values(["cluster", "metric"])
-    wide = {c: table.pivot(index="cluster", columns="metric", values=c).fillna(0.0).to_numpy() for c in ("a", "b", "y")}
-    if len(table) and (wide["y"].sum(axis=0) <= 0).any():
-        raise ValueError("an indicator without values")
-    sent = spark.sparkContext.broadcast(wide)
-
-    def draw(parts):
-        w = sent.value
-        n = len(w["y"])
-        for part in parts:
-            for start in part["id"]:
-                rng = np.random.default_rng([seed, int(start)])
-                size = min(block, replicates - int(start) * block)
-                pick = rng.integers(0, n, (size, n))
-                y = w["y"][pick].sum(axis=1)
-                delta = ((w["b"][pick].sum(axis=1) - w["a"][pick].sum(axis=1)) / np.maximum(y, 1e-12)).mean(axis=1)
-                yield pd.DataFrame({"replicate": int(start) * block + np.arange(size), "delta": delta})
-
-    return spark.range(-(-replicates // block)).mapInPandas(draw, "replicate long, delta double")
-
-
 def interval(draws: DataFrame) -> DataFrame:
     return draws.agg(F.count("*").alias("replicates"), F.percentile("delta", F.lit(0.025)).alias("low"), F.percentile("delta", F.lit(0.975)).alias("high"), F.avg((F.col("delta") < 0).cast("double")).alias("p_negative"))
 
 
-def two_way_bootstrap(sums: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Replicates of the pooled WAPE of sums(cell, day, e, y) with cells and days drawn independently."""
-    spark = sums.sparkSession
-    if sums.count() > MOST_ROWS:
-        raise ValueError(f"over {MOST_ROWS} rows of sums")
-    table = sums.toPandas()
-    e, y = (table.pivot(index="cell", columns="day", values=c).sort_index().fillna(0.0).to_numpy() for c in ("e", "y"))
-    sent = spark.sparkContext.broadcast((e, y))
-
-    def draw(parts):
-        e, y = sent.value
-        for part in parts:
-            values = []
-            for k in part["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                c = np.bincount(rng.integers(0, e.shape[0], e.shape[0]), minlength=e.shape[0])
-                d = np.bincount(rng.integers(0, e.shape[1], e.shape[1]), minlength=e.shape[1])
-                values.append(float(c @ e @ d) / max(float(c @ y @ d), 1e-12))
-            yield pd.DataFrame({"replicate": part["id"], "delta": values})
-
-    return spark.range(replicates).mapInPandas(draw, "replicate long, delta double")
-
-
 def t_interval(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean and t-interval over five seeds; a single seed gives its value."""
     half = T4 * F.coalesce(F.stddev_samp(value), F.lit(0.0)) / F.sqrt(F.count("*"))

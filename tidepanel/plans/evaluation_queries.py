@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, corruption, features, inference, joins, metrics, models, panel, ranking
+from ..operators import audit, corruption, features, inference, joins, metrics, models, panel, ranking, resampling
 from .study import SEED, Study, query, query_and_whole, rounded
 
 _HITS = ", ".join(f"round(avg((e < {t})::INT), 7) AS hit_{round(t * 100)}" for t in metrics.HIT_THRESHOLDS)
@@ -365,7 +365,7 @@ def bootstrap_point(s: Study) -> DataFrame:
 
 @query()
 def bootstrap_interval(s: Study) -> DataFrame:
-    return inference.interval(inference.bootstrap(inference.cluster_sums(s.predictions, "last_week", "fixed")))
+    return inference.interval(resampling.wape_deltas(inference.cluster_sums(s.predictions, "last_week", "fixed"), 5000, 42))
 
 
 @query("SELECT method, metric, " + ", ".join(f"round(min(r) FILTER (upto >= {t} * total), 6) AS scale_{round(t * 100)}" for t in (0.5, 0.7, 0.8, 0.9)) + " FROM (SELECT method, metric, r, sum(w) OVER (PARTITION BY method, metric ORDER BY r) AS upto, sum(w) OVER (PARTITION BY method, metric) AS total FROM (SELECT method, metric, y / p AS r, sum(p) AS w FROM pred WHERE y IS NOT NULL AND p > 0 GROUP BY ALL)) GROUP BY ALL")
