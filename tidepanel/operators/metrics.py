@@ -128,6 +128,16 @@ def sensitivity(filtered: DataFrame, grid: Sequence[float]) -> DataFrame:
     return rates.withColumn("area", area).groupBy("method").agg((F.sum("area") / (F.max("tau") - F.min("tau"))).alias("auc"), F.min("rate").alias("first_rate"), F.max("rate").alias("last_rate"))
 
 
+def sensitivity_signs(filtered: DataFrame, grid: Sequence[float], base: str) -> DataFrame:
+    """For each method but base, at how many thresholds of the grid its hit rate is above, below and at base's, and the least and greatest difference."""
+    error = F.aggregate(F.zip_with("y", "p", lambda y, p: F.abs(y - p) / y), F.lit(0.0), lambda s, e: s + e) / 4
+    rows = filtered.withColumn("e", error).select("method", "e", F.explode(F.array(*[F.lit(float(t)) for t in grid])).alias("tau"))
+    rates = rows.groupBy("method", "tau").agg(F.avg((F.col("e") < F.col("tau")).cast("double")).alias("rate"))  # methods times thresholds
+    own = rates.where(F.col("method") != base).join(F.broadcast(rates.where(F.col("method") == base).select("tau", F.col("rate").alias("base_"))), "tau")
+    d = F.round(F.col("rate") - F.col("base_"), 9)
+    return own.groupBy("method").agg(F.count_if(d > 0).alias("better"), F.count_if(d < 0).alias("worse"), F.count_if(d == 0).alias("equal"), F.min(F.col("rate") - F.col("base_")).alias("least"), F.max(F.col("rate") - F.col("base_")).alias("most"))
+
+
 def threshold_set_scores(filtered: DataFrame, sets: dict[str, Sequence[float]]) -> DataFrame:
     """The mean hit rate of each method over the thresholds of each named set."""
     error = F.aggregate(F.zip_with("y", "p", lambda y, p: F.abs(y - p) / y), F.lit(0.0), lambda s, e: s + e) / 4
@@ -145,6 +155,21 @@ def utility_curves(predictions: DataFrame, betas: Sequence[float]) -> DataFrame:
     return rows.groupBy("method", "metric", "beta").agg(F.avg((F.col("y") > F.col("c")).cast("double")).alias("violation"), (F.sum(F.greatest(F.col("c") - F.col("y"), F.lit(0.0))) / total).alias("waste"), (F.sum(F.greatest(F.col("y") - F.col("c"), F.lit(0.0))) / total).alias("shortage"), (F.sum("c") / total).alias("provision"))
 
 
+def group_curves(rows: DataFrame, betas: Sequence[float]) -> DataFrame:
+    """utility_curves of rows(method, grp, y, p) by group, with the number of rows."""
+    rows = rows.withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas]))).withColumn("c", F.col("p") * (1 + F.col("beta")))
+    over = lambda a, b: F.sum(F.greatest(F.col(a) - F.col(b), F.lit(0.0))) / F.greatest(F.sum("y"), F.lit(TINY))
+    return rows.groupBy("method", "grp", "beta").agg(F.avg((F.col("c") < F.col("y")).cast("double")).alias("violation"), over("c", "y").alias("waste"), over("y", "c").alias("shortage"), (F.sum("c") / F.greatest(F.sum("y"), F.lit(TINY))).alias("provision"), F.count("*").alias("n"))
+
+
+def decision_components(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """n, coverage, calibration error, shares too little and too much, and normalized pinball cost of actions a at levels tau."""
+    under, over = (F.greatest(x, F.lit(0.0)) for x in (F.col("y") - F.col("a"), F.col("a") - F.col("y")))
+    total, covered = F.greatest(F.sum("y"), F.lit(TINY)), F.avg((F.col("y") <= F.col("a")).cast("double"))
+    cost = F.avg(F.col("tau") * under + (1 - F.col("tau")) * over) / F.greatest(F.avg(F.abs("y")), F.lit(TINY))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), covered.alias("coverage"), (covered - F.first("tau")).alias("calibration_error"), (F.sum(under) / total).alias("under"), (F.sum(over) / total).alias("over"), cost.alias("cost"))
+
+
 def least_beta(curves: DataFrame, limits: Sequence[float] = (0.10, 0.05, 0.01)) -> DataFrame:
     """The least beta of each method and metric that keeps violations within each limit."""
     return curves.groupBy("method", "metric").agg(*[F.min(F.when(F.col("violation") <= t, F.col("beta"))).alias(f"beta_{round(t * 100)}") for t in limits])

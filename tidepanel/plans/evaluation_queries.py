@@ -95,28 +95,37 @@ def mase_coverage(s: Study) -> DataFrame:
     return rounded(metrics.mase_coverage(rows).select(F.coalesce("metric", F.lit(-1)).alias("metric"), "observed", "eligible", "coverage"))
 
 
-@query(", g AS (SELECT method, tau / 20.0 AS tau, avg((e < tau / 20.0)::INT) AS r FROM ok, range(1, 21) t(tau) GROUP BY ALL), a AS (SELECT *, (r + lag(r) OVER w) / 2 * (tau - lag(tau) OVER w) AS area FROM g WINDOW w AS (PARTITION BY method ORDER BY tau)) SELECT method, round(sum(area) / (max(tau) - min(tau)), 7) AS auc, round(min(r), 7) AS first_rate, round(max(r), 7) AS last_rate FROM a GROUP BY method")
-def threshold_sensitivity(s: Study) -> DataFrame:
-    return rounded(metrics.sensitivity(metrics.official_filter(s.rows), [k / 20 for k in range(1, 21)]))
-
-
 #: 21 thresholds of 0.10 to 0.60.
 _FINE_TAUS = [0.10 + 0.025 * k for k in range(21)]
+_SENSITIVITY = ", th AS (SELECT 0.1::DOUBLE + 0.025::DOUBLE * k AS tau FROM range(21) r(k)), g AS (SELECT method, tau, avg((e < tau)::INT) AS r FROM ok, th GROUP BY ALL)"
+_AREA = f"{_SENSITIVITY}, a AS (SELECT *, (r + lag(r) OVER w) / 2 * (tau - lag(tau) OVER w) AS area FROM g WINDOW w AS (PARTITION BY method ORDER BY tau)) SELECT method, round(sum(area) / (max(tau) - min(tau)), 7) AS auc, round(min(r), 7) AS first_rate, round(max(r), 7) AS last_rate FROM a GROUP BY method"
 
 
-@query()
-def threshold_sensitivity_fine(s: Study) -> DataFrame:
+@query(_AREA)
+def threshold_sensitivity(s: Study) -> DataFrame:
     return rounded(metrics.sensitivity(metrics.official_filter(s.rows), _FINE_TAUS))
 
 
+@query(_AREA)
+def threshold_sensitivity_fine(s: Study) -> DataFrame:
+    return threshold_sensitivity(s)
+
+
+@query(f"{_SENSITIVITY}, d AS (SELECT x.tau, o.method, o.r - x.r AS d FROM g x JOIN g o USING (tau) WHERE x.method = 'last_week' AND o.method <> 'last_week') SELECT method, count(*) FILTER (round(d, 9) > 0) AS better, count(*) FILTER (round(d, 9) < 0) AS worse, count(*) FILTER (round(d, 9) = 0) AS equal, round(min(d), 7) AS least, round(max(d), 7) AS most FROM d GROUP BY method")
+def threshold_signs(s: Study) -> DataFrame:
+    """At how many of the 21 thresholds each method hits more, less and as often as last week's values."""
+    return rounded(metrics.sensitivity_signs(metrics.official_filter(s.rows), _FINE_TAUS, "last_week"))
+
+
 @query()
 def threshold_set_scores(s: Study) -> DataFrame:
     return rounded(metrics.threshold_set_scores(metrics.official_filter(s.rows), metrics.THRESHOLD_SETS))
 
 
 _ROUND = "pr AS (SELECT * REPLACE (round(p, 9) AS p) FROM pred)"
-_CURVE = f"{_ROUND}, cv AS (SELECT method, metric, beta / 20.0 AS beta, avg((y > p * (1 + beta / 20.0))::INT) AS violation, sum(greatest(p * (1 + beta / 20.0) - y, 0)) / greatest(sum(y), 1e-12) AS waste, sum(greatest(y - p * (1 + beta / 20.0), 0)) / greatest(sum(y), 1e-12) AS shortage, sum(p * (1 + beta / 20.0)) / greatest(sum(y), 1e-12) AS provision FROM pr, range(0, 41) b(beta) WHERE {_SEEN} GROUP BY ALL)"
-_BETAS = [k / 20 for k in range(41)]
+_CURVE = f"{_ROUND}, cv AS (SELECT method, metric, beta / 100.0 AS beta, avg((y > p * (1 + beta / 100.0))::INT) AS violation, sum(greatest(p * (1 + beta / 100.0) - y, 0)) / greatest(sum(y), 1e-12) AS waste, sum(greatest(y - p * (1 + beta / 100.0), 0)) / greatest(sum(y), 1e-12) AS shortage, sum(p * (1 + beta / 100.0)) / greatest(sum(y), 1e-12) AS provision FROM pr, range(0, 101) b(beta) WHERE {_SEEN} GROUP BY ALL)"
+#: Steps of 0.01 over 0 to 1.
+_BETAS = [k / 100 for k in range(101)]
 
 
 @query(f", {_CURVE} SELECT method, metric, round(beta, 2) AS beta, round(violation, 6) AS violation, round(waste, 6) AS waste, round(shortage, 6) AS shortage, round(provision, 6) AS provision FROM cv")
@@ -129,18 +138,40 @@ def least_provision(s: Study) -> DataFrame:
     return rounded(metrics.least_beta(metrics.utility_curves(_even(s), _BETAS)), 2)
 
 
-#: Steps of 0.01 over 0 to 1.
-_FINE_BETAS = [k / 100 for k in range(101)]
-
-
-@query()
+@query(f", {_CURVE} SELECT method, metric, round(beta, 2) AS beta, round(violation, 6) AS violation, round(waste, 6) AS waste, round(shortage, 6) AS shortage, round(provision, 6) AS provision FROM cv")
 def utility_curves_fine(s: Study) -> DataFrame:
-    return rounded(metrics.utility_curves(_even(s), _FINE_BETAS).withColumn("beta", F.round("beta", 2)), 6)
+    return utility_curves(s)
 
 
-@query()
+@query(f", {_CURVE} SELECT method, metric, round(min(beta) FILTER (violation <= 0.1), 2) AS beta_10, round(min(beta) FILTER (violation <= 0.05), 2) AS beta_5, round(min(beta) FILTER (violation <= 0.01), 2) AS beta_1 FROM cv GROUP BY ALL")
 def least_provision_fine(s: Study) -> DataFrame:
-    return rounded(metrics.least_beta(metrics.utility_curves(_even(s), _FINE_BETAS)), 2)
+    return least_provision(s)
+
+
+#: Groups of the two PRB indicators over complete rows of the holdout.
+_PRB = "pb AS (SELECT method, g.grp, y[g.k + 1] AS y, round(p[g.k + 1], 9) AS p FROM rw, (VALUES ('dl_prb', 2), ('ul_prb', 3), ('pooled_prb', 2), ('pooled_prb', 3)) g(grp, k) WHERE n = 4 AND layer = 'holdout')"
+_PRB_CURVE = f"{_PRB}, pc AS (SELECT method, grp, beta / 100.0 AS beta, avg((p * (1 + beta / 100.0) < y)::INT) AS violation, sum(greatest(p * (1 + beta / 100.0) - y, 0)) / greatest(sum(y), 1e-12) AS waste, sum(greatest(y - p * (1 + beta / 100.0), 0)) / greatest(sum(y), 1e-12) AS shortage, sum(p * (1 + beta / 100.0)) / greatest(sum(y), 1e-12) AS provision, count(*) AS n FROM pb, range(0, 101) b(beta) GROUP BY ALL)"
+
+
+def _prb_curves(s: Study) -> DataFrame:
+    rows = metrics.complete(s.rows.where("layer = 'holdout'")).select("method", F.posexplode(F.arrays_zip("y", "p")).alias("metric", "v")).where("metric IN (2, 3)")
+    group = F.explode(F.array(F.when(F.col("metric") == 2, "dl_prb").otherwise("ul_prb"), F.lit("pooled_prb")))
+    return metrics.group_curves(rows.select("method", group.alias("grp"), "v.y", F.round("v.p", 9).alias("p")), _BETAS)
+
+
+@query(f", {_PRB_CURVE} SELECT method, grp, round(beta, 2) AS beta, round(violation, 6) AS violation, round(waste, 6) AS waste, round(shortage, 6) AS shortage, round(provision, 6) AS provision, n FROM pc")
+def prb_utility_curves(s: Study) -> DataFrame:
+    """Provisioning of each PRB indicator and of both pooled, over complete rows of the holdout."""
+    return rounded(_prb_curves(s).withColumn("beta", F.round("beta", 2)), 6)
+
+
+@query(f", {_PRB_CURVE}, lv(target) AS (VALUES (0.1::DOUBLE), (0.05), (0.01)), mb AS (SELECT method, grp, target, min(beta) FILTER (violation <= target) AS beta FROM pc, lv GROUP BY ALL) SELECT mb.method, mb.grp, target, round(mb.beta, 2) AS beta, round(violation, 6) AS violation, round(waste, 6) AS waste, round(shortage, 6) AS shortage, round(provision, 6) AS provision FROM mb LEFT JOIN pc ON pc.method = mb.method AND pc.grp = mb.grp AND pc.beta = mb.beta")
+def prb_least_provision(s: Study) -> DataFrame:
+    """The least margin that keeps violations within each target, with what it costs; null where none does."""
+    curves = _prb_curves(s).withColumn("target", F.explode(F.array(*[F.lit(t) for t in (0.1, 0.05, 0.01)])))
+    told = F.struct(F.round("beta", 2).alias("beta"), "violation", "waste", "shortage", "provision")
+    best = curves.groupBy("method", "grp", "target").agg(F.min(F.when(F.col("violation") <= F.col("target"), told)).alias("b"))
+    return rounded(best.select("method", "grp", "target", "b.*"), 6)
 
 
 @query(f"SELECT method, (isodow(make_timestamp(h * 3600000000)) - 1)::INT AS weekday, hz, metric, count(*) AS n, round({_WAPE}, 6) AS wape FROM pred WHERE {_SEEN} GROUP BY ALL")
@@ -175,16 +206,54 @@ def decision_costs(s: Study) -> DataFrame:
     return rounded(metrics.decision(_even(s)).select("method", "metric", "tau", "coverage", "calibration_error", "cost"))
 
 
-@query(f""", g AS (SELECT method, metric, k, k / 10.0 AS scale, sum(greatest(y - p * (k / 10.0), 0)) AS u, sum(greatest(p * (k / 10.0) - y, 0)) AS o, greatest(sum(y), 1e-12) AS t FROM pred, range(5, 21) r(k) WHERE {_SEEN} GROUP BY ALL),
+@query(f""", g AS (SELECT method, metric, k, k / 100.0 AS scale, sum(greatest(y - p * (k / 100.0), 0)) AS u, sum(greatest(p * (k / 100.0) - y, 0)) AS o, greatest(sum(y), 1e-12) AS t FROM pred, range(50, 201) r(k) WHERE {_SEEN} GROUP BY ALL),
     c AS (SELECT method, metric, tau, k, scale, round((tau * u + (1 - tau) * o) / t, 12) AS cost FROM g, (VALUES (0.5::DOUBLE), (0.7), (0.8), (0.9)) t(tau))
     SELECT method, metric, tau, round(arg_min(scale, (cost, k))::DOUBLE, 2) AS scale, round(min(cost), 7) AS cost FROM c GROUP BY ALL""")
 def tuned_scales(s: Study) -> DataFrame:
-    return rounded(metrics.tune_scales(s.predictions, [k / 10 for k in range(5, 21)]))
+    return rounded(metrics.tune_scales(s.predictions, [k / 100 for k in range(50, 201)]))
 
 
-@query()
+@query(f""", g AS (SELECT method, metric, k, k / 100.0 AS scale, sum(greatest(y - p * (k / 100.0), 0)) AS u, sum(greatest(p * (k / 100.0) - y, 0)) AS o, greatest(sum(y), 1e-12) AS t FROM pred, range(50, 201) r(k) WHERE {_SEEN} GROUP BY ALL),
+    c AS (SELECT method, metric, tau, k, scale, round((tau * u + (1 - tau) * o) / t, 12) AS cost FROM g, (VALUES (0.5::DOUBLE), (0.7), (0.8), (0.9)) t(tau))
+    SELECT method, metric, tau, round(arg_min(scale, (cost, k))::DOUBLE, 2) AS scale, round(min(cost), 7) AS cost FROM c GROUP BY ALL""")
 def tuned_scales_fine(s: Study) -> DataFrame:
-    return rounded(metrics.tune_scales(s.predictions, [k / 100 for k in range(50, 201)]))
+    return tuned_scales(s)
+
+
+_TUNED = f"""g AS (SELECT method, metric, k, k / 100.0 AS scale, sum(greatest(y - p * (k / 100.0), 0)) AS u, sum(greatest(p * (k / 100.0) - y, 0)) AS o, greatest(sum(y), 1e-12) AS t FROM pred, range(50, 201) r(k) WHERE layer = 'inner' AND metric IN (2, 3) AND {_SEEN} GROUP BY ALL),
+    tc AS (SELECT method, metric, tau, k, scale, round((tau * u + (1 - tau) * o) / t, 12) AS cost FROM g, (VALUES (0.5::DOUBLE), (0.7), (0.8), (0.9)) t(tau)),
+    ts AS (SELECT method, metric, tau, arg_min(scale, (cost, k))::DOUBLE AS scale, min(cost) AS cost FROM tc GROUP BY ALL)"""
+_PROVISIONED = f"""{_TUNED}, ho AS (SELECT method, cell, metric, tau, y[metric + 1] AS y, round(p[metric + 1] * scale, 9) AS a FROM rw JOIN ts USING (method) WHERE n = 4 AND layer = 'holdout')"""
+_COMPONENTS = "count(*) AS n, round(avg((y <= a)::INT), 7) AS coverage, round(avg((y <= a)::INT) - tau, 7) AS calibration_error, round(sum(greatest(y - a, 0)) / greatest(sum(y), 1e-12), 6) AS under, round(sum(greatest(a - y, 0)) / greatest(sum(y), 1e-12), 6) AS over, round(avg(tau * greatest(y - a, 0) + (1 - tau) * greatest(a - y, 0)) / greatest(avg(abs(y)), 1e-12), 6) AS cost"
+
+
+def _inner_scales(s: Study) -> DataFrame:
+    return metrics.tune_scales(s.predictions.where("layer = 'inner' AND metric IN (2, 3)"), [k / 100 for k in range(50, 201)])
+
+
+@query(f", {_TUNED} SELECT method, metric, tau, round(scale, 2) AS scale, round(cost, 7) AS cost FROM ts")
+def inner_tuned_scales(s: Study) -> DataFrame:
+    """Scales of the two PRB indicators chosen on the inner days only."""
+    return rounded(_inner_scales(s))
+
+
+def _provisioned(s: Study) -> DataFrame:
+    rows = metrics.complete(s.rows.where("layer = 'holdout'")).join(F.broadcast(_inner_scales(s).select("method", "metric", "tau", "scale")), "method")
+    return rows.select("method", "cell", "metric", "tau", F.get("y", F.col("metric")).alias("y"), F.round(F.get("p", F.col("metric")) * F.col("scale"), 9).alias("a"))
+
+
+@query(f", {_PROVISIONED}, pt AS (SELECT method, metric, tau, {_COMPONENTS} FROM ho GROUP BY method, metric, tau) SELECT *, round(cost - min(cost) OVER (PARTITION BY metric, tau), 6) + 0.0 AS excess FROM pt")
+def provisioning_table(s: Study) -> DataFrame:
+    """Coverage and cost on complete rows of the holdout of scales chosen on inner days, and the excess over the best method."""
+    rows = metrics.decision_components(_provisioned(s), ["method", "metric", "tau"])
+    rows = rounded(rounded(rows.withColumns({c: F.round(c, 6) for c in ("under", "over", "cost")})))
+    return metrics.excess_over_best(rows, "cost", ["metric", "tau"]).withColumn("excess", F.round("excess", 6) + 0.0)
+
+
+@query(f", {_PROVISIONED} SELECT method, cell, metric, tau, {_COMPONENTS} FROM ho GROUP BY method, cell, metric, tau")
+def provisioning_by_cell(s: Study) -> DataFrame:
+    rows = metrics.decision_components(_provisioned(s), ["method", "cell", "metric", "tau"])
+    return rounded(rows.withColumns({c: F.round(c, 6) for c in ("under", "over", "cost")}))
 
 
 @query("SELECT metric, hz, k::INT AS expert, round(avg(alpha[k]), 7) AS weight, round(avg(a[k]::INT), 7) AS available, round(avg(rho[k]), 7) AS reliability FROM routed, range(1, 9) r(k) GROUP BY ALL")

@@ -65,12 +65,12 @@ def request_masks(s: Study) -> DataFrame:
 
 @query()
 def lock_box_masks(s: Study) -> DataFrame:
-    return corruption.request_masks(_requests(s), "lock_box", [("random", 0.1), ("random", 0.3), ("block", 24), ("block", 72)])
+    return corruption.request_masks(_requests(s), "lock_box", [("random", r) for r in (0.1, 0.2, 0.3)] + [("block", n) for n in (24, 48, 96)])
 
 
 @query()
 def asynchronous_mask_overlap(s: Study) -> DataFrame:
-    return corruption.mask_overlap(corruption.request_masks(_requests(s), "each_metric", [("independent_random", 0.1), ("independent_random", 0.3), ("staggered_block", 24), ("staggered_block", 72)]))
+    return corruption.mask_overlap(corruption.request_masks(_requests(s), "each_metric", [("independent_random", r) for r in (0.1, 0.2, 0.3)] + [("staggered_block", 48)]))
 
 
 def _rates(prefix: str) -> str:
@@ -83,10 +83,17 @@ def corruption_report(s: Study) -> DataFrame:
     return rounded(corruption.report(s.history.where("layer = 'holdout'").join(s.mask("block", 0.3), ["cell", "h", "metric"])))
 
 
-@query(f", {_mask(0.15)} SELECT mk.cell, mk.metric, count(*) AS hours, sum((mixed AND x IS NOT NULL)::INT)::BIGINT AS newly_removed, sum((NOT mixed AND x IS NOT NULL)::INT)::BIGINT AS kept_values FROM mk JOIN panel p ON p.cell = mk.cell AND p.h = mk.h AND p.metric = mk.metric GROUP BY ALL")
+_MIXED = lambda prefix: _rates(prefix).replace("block", "mixed")
+
+
+@query(f""", {_mask(0.15).replace("layer = 'holdout'", "layer = 'fit'")}, e AS (SELECT {_MIXED("exposure")} FROM hist JOIN mk USING (cell, h, metric) WHERE layer = 'fit'), u AS (SELECT {_MIXED("unique")} FROM mk JOIN panel USING (cell, h, metric))
+    SELECT 'mixed' AS augmentation, 0.15::DOUBLE AS requested_rate, (SELECT count(y) FROM tgt WHERE layer = 'fit') AS targets_kept, * FROM u, e""")
 def augmentation_view(s: Study) -> DataFrame:
-    rows = s.panel.join(s.mask("mixed", 0.15), ["cell", "h", "metric"])
-    return rows.groupBy("cell", "metric").agg(F.count("*").alias("hours"), F.count_if(F.col("removed") & F.col("x").isNotNull()).alias("newly_removed"), F.count_if(~F.col("removed") & F.col("x").isNotNull()).alias("kept_values"))
+    """The mixed corruption of training requests' inputs: what it takes from histories and from hours; targets stay."""
+    mask = s.mask("mixed", 0.15, "fit")
+    rates = corruption.report(s.history.where("layer = 'fit'").join(mask, ["cell", "h", "metric"]))
+    kept = s.targets.where("layer = 'fit'").agg(F.count("y").alias("targets_kept"))
+    return rounded(rates.drop("corruption_scope", "recent_tail_definition").crossJoin(kept).select(F.lit("mixed").alias("augmentation"), F.lit(0.15).alias("requested_rate"), "*"))
 
 
 # Fits

@@ -74,8 +74,8 @@ class Study:
         days = self.windows.select("cell", "origin_h", "layer", "day_rank")
         return metrics.wide_rows(self.predictions).join(days, ["cell", "origin_h"])
 
-    def mask(self, mechanism: str, rate: float) -> DataFrame:
-        return corruption.removed(corruption.evaluated_hours(self.windows.where("layer = 'holdout'")), mechanism, rate, SEED)
+    def mask(self, mechanism: str, rate: float, layer: str = "holdout") -> DataFrame:
+        return corruption.removed(corruption.evaluated_hours(self.windows.where(F.col("layer") == layer)), mechanism, rate, SEED)
 
 
 def query(sql: str | None = None):
