@@ -322,9 +322,11 @@ def mask_digests(s: Study) -> DataFrame:
 _SCENARIOS = ", ".join(["(0, 'clean', 'none', 0.0::DOUBLE)"] + [f"({1 + k * 4 + j}, '{m}_{round(r * 100)}', '{m}', {r})" for k, m in enumerate(corruption.MECHANISMS) for j, r in enumerate(corruption.RATES)])
 
 
-@query(f"SELECT idx::INT AS idx, name, mechanism, rate::DOUBLE AS rate FROM (VALUES {_SCENARIOS}) v(idx, name, mechanism, rate)")
+@query(f", hn AS (SELECT cell, count(DISTINCT h) AS n FROM hist WHERE layer = 'holdout' GROUP BY cell) SELECT idx::INT AS idx, name, mechanism, rate::DOUBLE AS rate, sum(n)::BIGINT AS hours, round(sum(rate * n), 4) AS expected FROM (VALUES {_SCENARIOS}) v(idx, name, mechanism, rate), hn GROUP BY ALL")
 def corruption_scenarios(s: Study) -> DataFrame:
-    return corruption.scenarios(s.spark)
+    """The scenarios with the evaluated hours that each is dealt over, and how many it is to take."""
+    hours = corruption.evaluated_hours(s.windows.where("layer = 'holdout'")).select("cell", "h").distinct().agg(F.count("*").alias("hours"))
+    return corruption.scenarios(s.spark).crossJoin(hours).withColumn("expected", F.round(F.col("rate") * F.col("hours"), 4))  # one row
 
 
 @query(f", {_mask(0.2)}, c AS (SELECT hist.cell, origin_h, hist.metric, CASE WHEN NOT recent_tail THEN x END AS x FROM hist JOIN mk ON mk.cell = hist.cell AND mk.h = hist.h AND mk.metric = hist.metric WHERE layer = 'holdout'), f AS (SELECT *, coalesce(x, median(x) OVER (PARTITION BY cell, origin_h, metric), 0) AS filled FROM c) SELECT cell, origin_h, metric, round(sum(filled), 5) AS total FROM f GROUP BY ALL")

@@ -28,9 +28,12 @@ _VARIANTS = """('A0_fixed', 'fixed', true, false, 0.0, 'clean', 0.0, false), ('A
     ('A6_consistency', 'entmax15', true, true, 0.5, 'mixed', 0.05, false), ('A7_cross_indicator', 'entmax15', true, true, 0.5, 'mixed', 0.05, true)"""
 
 
-@query(f"SELECT name, attention, hard_mask, reliability, residual_bound::DOUBLE AS residual_bound, augmentation, consistency_weight::DOUBLE AS consistency_weight, cross_indicator FROM (VALUES {_VARIANTS}) v(name, attention, hard_mask, reliability, residual_bound, augmentation, consistency_weight, cross_indicator)")
+@query(f"SELECT name, attention, hard_mask, reliability, residual_bound::DOUBLE AS residual_bound, augmentation, consistency_weight::DOUBLE AS consistency_weight, cross_indicator, round(CASE WHEN hard_mask THEN (SELECT avg(len([x FOR x IN a IF x])) FROM experts) ELSE 8 END, 6) AS open_experts FROM (VALUES {_VARIANTS}) v(name, attention, hard_mask, reliability, residual_bound, augmentation, consistency_weight, cross_indicator)")
 def router_variants(s: Study) -> DataFrame:
-    return s.spark.createDataFrame([tuple(vars(v).values()) for v in neural_router.VARIANTS], "name string, attention string, hard_mask boolean, reliability boolean, residual_bound double, augmentation string, consistency_weight double, cross_indicator boolean")
+    """The variants, and how many experts take part in a forecast on average: those available, or all without the hard mask."""
+    available = s.experts.agg(F.avg(F.size(F.filter("a", lambda x: x))).alias("available"))
+    rows = s.spark.createDataFrame([tuple(vars(v).values()) for v in neural_router.VARIANTS], "name string, attention string, hard_mask boolean, reliability boolean, residual_bound double, augmentation string, consistency_weight double, cross_indicator boolean")
+    return rows.crossJoin(available).withColumn("open_experts", F.round(F.when(F.col("hard_mask"), F.col("available")).otherwise(8.0), 6)).drop("available")  # one row
 
 
 @query()
@@ -201,7 +204,18 @@ def file_manifest(s: Study) -> DataFrame:
     return audit.manifest(s.spark, path).where("name LIKE 'part-%'").select("length", "sha256")
 
 
-@query("""SELECT * FROM (VALUES ('gone', 'missing'), ('new', 'unexpected'), ('other', 'different')) v(name, problem)""")
+@query("""SELECT coalesce(f.name, e.name) AS name, CASE WHEN f.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'unexpected' ELSE 'different' END AS problem
+    FROM (SELECT n_regionkey::VARCHAR AS name, sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) AS h FROM nation GROUP BY n_regionkey) f
+    FULL JOIN (SELECT n_regionkey::VARCHAR AS name, sha256(string_agg(CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END || chr(10), '' ORDER BY n_name)) AS h FROM nation WHERE n_regionkey <> 0 GROUP BY n_regionkey UNION ALL SELECT 'customers', sha256(count(*)::VARCHAR) FROM customer) e ON e.name = f.name
+    WHERE f.h IS DISTINCT FROM e.h""")
 def manifest_differences(s: Study) -> DataFrame:
-    table = lambda rows: s.spark.createDataFrame(rows, "name string, length long, sha256 string")
-    return audit.manifest_problems(table([("same", 1, "aa"), ("other", 2, "bb"), ("new", 3, "cc")]), table([("same", 1, "aa"), ("other", 2, "bx"), ("gone", 4, "dd")]))
+    """Files of nations by region against a manifest that lacks one region, knows another under other names and lists a file that is not there."""
+    nation, path = s.table("nation"), _folder(s, "regions")
+    nation.repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_name").select("n_name", "n_regionkey").write.partitionBy("n_regionkey").text(path)
+    files = s.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("path LIKE '%/part-%'")
+    found = files.select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    line = F.concat(F.when(F.col("n_regionkey") == 2, F.lower("n_name")).otherwise(F.col("n_name")), F.lit("\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", line.alias("line")))), lambda x: x["line"]), "")
+    known = nation.where("n_regionkey <> 0").groupBy(F.col("n_regionkey").cast("string").alias("name")).agg(text.alias("t")).select("name", F.octet_length("t").cast("long").alias("length"), F.sha2("t", 256).alias("sha256"))
+    gone = s.table("customer").agg(F.count("*").cast("string").alias("t")).select(F.lit("customers").alias("name"), F.octet_length("t").cast("long").alias("length"), F.sha2("t", 256).alias("sha256"))
+    return audit.manifest_problems(found, known.unionByName(gone))

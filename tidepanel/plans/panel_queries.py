@@ -124,9 +124,13 @@ _HITS = f"""g(idx, name, w, scale) AS (VALUES {_GRID}), b AS (SELECT *, {_BLEND}
     fs AS (SELECT idx, name, count(*) AS samples, avg(e) AS mean_mape, (avg((e < 0.2)::INT) + avg((e < 0.3)::INT) + avg((e < 0.4)::INT) + avg((e < 0.5)::INT)) / 4 AS auc FROM fe GROUP BY ALL)"""
 
 
-@query("SELECT idx::INT AS idx, name, scale::DOUBLE AS scale FROM (VALUES " + _GRID + ") g(idx, name, w, scale)")
+@query(f", {_HITS} SELECT f.idx::INT AS idx, f.name, g.scale::DOUBLE AS scale, count(*) AS forecasts, round(avg(p), 6) AS mean_forecast FROM f JOIN g USING (idx) GROUP BY ALL")
 def candidate_configurations(s: Study) -> DataFrame:
-    return evidence.candidate_grid(s.spark).select("idx", "name", "scale")
+    """The grid, with what each configuration forecasts for the inner days on average."""
+    weights = [F.get("weights", F.lit(k)) for k in range(6)]
+    inner = s.targets.where("layer = 'inner'").crossJoin(F.broadcast(evidence.candidate_grid(s.spark)))  # 20 configurations
+    rows = evidence.seasonal_forecast(inner, s.panel, evidence.raw_medians(s.history), weights, F.col("scale"))
+    return rounded(rows.groupBy("idx", "name", "scale").agg(F.count("*").alias("forecasts"), F.avg("p").alias("mean_forecast")), 6)
 
 
 def _configuration_hits(s: Study) -> DataFrame:
@@ -255,11 +259,13 @@ def patch_unfold(s: Study, where: str) -> DataFrame:
     return rounded(rows.select("cell", "origin_h", "metric", "patch", F.size("values").cast("bigint").alias("n"), weighted.alias("weighted")), 4)
 
 
-@query("""SELECT i, round((18 + 13 * d + 4 * c) * f, 7) AS m0, round((26 + 22 * d + 7 * c) * f, 7) AS m1, round((32 + 33 * d + 10 * c) * f, 7) AS m2, round((14 + 18 * d + 7 * c) * f, 7) AS m3
+@query(""", ob AS (SELECT i, avg(m0) AS observed FROM wide WHERE i < 336 GROUP BY i) SELECT i, round(observed, 7) AS observed, round((18 + 13 * d + 4 * c) * f, 7) AS m0, round((26 + 22 * d + 7 * c) * f, 7) AS m1, round((32 + 33 * d + 10 * c) * f, 7) AS m2, round((14 + 18 * d + 7 * c) * f, 7) AS m3
     FROM (SELECT i, greatest(0, sin(pi() * (i % 24 - 6) / 16.0)) AS d, exp(-pow((i % 24 - 9) / 2.5, 2)) + 0.8 * exp(-pow((i % 24 - 19) / 3.0, 2)) AS c,
-    CASE WHEN isodow(timestamp '2026-07-01' + to_hours(i)) > 5 THEN 0.88 ELSE 1 END * (1 + 0.025 * sin(2 * pi() * i / 168)) AS f FROM range(336) r(i))""")
+    CASE WHEN isodow(timestamp '2026-07-01' + to_hours(i)) > 5 THEN 0.88 ELSE 1 END * (1 + 0.025 * sin(2 * pi() * i / 168)) AS f FROM range(336) r(i)) LEFT JOIN ob USING (i)""")
 def synthetic_request(s: Study) -> DataFrame:
-    return rounded(sources.synthetic_request(s.spark).select("i", "m0", "m1", "m2", "m3"))
+    """The sample signals beside the panel's mean counts in the same hours."""
+    observed = s.wide.where("i < 336").groupBy("i").agg(F.avg("m0").alias("observed"))
+    return rounded(sources.synthetic_request(s.spark).join(observed, "i", "left").select("i", "observed", "m0", "m1", "m2", "m3"))
 
 
 @query("SELECT cell, h, strftime(make_timestamp(h * 3600000000), '%Y/%-m/%-d %-H:00') AS time, CASE WHEN m2 IS NULL THEN 'NIL' ELSE printf('%.4f', greatest(m2, 1e-4)) END AS value, m2 IS NULL AS missing FROM wide")

@@ -16,7 +16,7 @@ from ..functions import hash_uniform, hour_timestamp
 from ..operators import audit, corruption, evidence, features, inference, joins, metrics, panel, ranking, routing
 from .evaluation_queries import _mask, _uniform
 from .panel_queries import _BLEND, _HITS as _CONFIGURED, _blend_sql, _configuration_hits
-from .study import BASE, SEED, Study, query, rounded
+from .study import BASE, SEED, SQL, Study, query, rounded
 
 KEYS = ["cell", "origin_h", "hz", "metric"]
 _SEEN = "y IS NOT NULL AND p IS NOT NULL"
@@ -437,10 +437,23 @@ def feature_rows_88(s: Study) -> DataFrame:
     return rows.select(*[(F.col(c) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-@query("SELECT * FROM (VALUES ('full', 88::BIGINT), ('no_baseline', 84::BIGINT), ('no_missingness', 64::BIGINT), ('no_static', 84::BIGINT), ('no_weather', 83::BIGINT), ('traffic_only', 73::BIGINT), ('compact', 55::BIGINT)) v(variant, features)")
+@query()
 def feature_variants(s: Study) -> DataFrame:
-    columns = [c for c in _feature_rows(s).columns if c not in ("cell", "origin_h", "h", "hz")]
-    return s.spark.createDataFrame([(v, len(features.feature_columns(columns, v))) for v in features.VARIANTS], "variant string, features long")
+    """How many features each variant has, and how many of them differ between rows."""
+    rows = _feature_rows(s)
+    columns = [c for c in rows.columns if c not in ("cell", "origin_h", "h", "hz")]
+    spread = rows.agg(*[F.struct(F.lit(c).alias("name"), (F.round(F.max(F.col(c).cast("double")), 6) > F.round(F.min(F.col(c).cast("double")), 6)).alias("varies")).alias(c) for c in columns])
+    each = spread.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    of = s.spark.createDataFrame([(v, c) for v in features.VARIANTS for c in features.feature_columns(columns, v)], "variant string, name string")
+    return each.join(of, "name").groupBy("variant").agg(F.count("*").alias("features"), F.count_if("varies").alias("varying"))
+
+
+_STATIC, _SKY = "name IN ('azimuth', 'scene_code', 'px', 'py')", "name IN ('weather_code', 'temperature', 'humidity', 'rain', 'wind')"
+_GAPS = "(name LIKE '%\\_seen' ESCAPE '\\' OR name LIKE '%missing\\_ratio' ESCAPE '\\')"
+_LEFT_OUT = {"full": "false", "no_baseline": "name LIKE '%log\\_baseline' ESCAPE '\\'", "no_missingness": _GAPS, "no_static": _STATIC, "no_weather": _SKY, "traffic_only": "NOT (name = 'horizon' OR regexp_matches(name, '^m[0-3]_'))", "compact": f"({_SKY} OR {_GAPS} OR name LIKE '%log\\_baseline' ESCAPE '\\')"}
+SQL["feature_variants"] = f"""WITH fr AS MATERIALIZED ({SQL["feature_rows_88"]}), wi AS (SELECT COLUMNS(* EXCLUDE (cell, origin_h, h, hz))::DOUBLE FROM fr), lo AS (UNPIVOT wi ON * INTO NAME name VALUE v),
+    fs AS (SELECT name, max(v) > min(v) AS varies FROM lo GROUP BY name)
+    {" UNION ALL ".join(f"SELECT '{v}' AS variant, count(*) AS features, count(*) FILTER (varies) AS varying FROM fs WHERE NOT ({w})" for v, w in _LEFT_OUT.items())}"""
 
 
 @query(""", nm AS (SELECT metric, avg(z) AS mean, greatest(stddev_pop(z), 1e-6) AS sd FROM hist WHERE layer = 'fit' GROUP BY metric)
