@@ -17,13 +17,16 @@ def key_problems(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def key_exact(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The inner join of two tables with one row for each of the same keys; else an error when it runs."""
-    mark = lambda d, n: d.groupBy(*keys).agg(F.count("*").alias(n))
-    sides = mark(left, "n_left").join(mark(right, "n_right"), list(keys), "full_outer")
+    """The inner join of two tables with one row for each of the same keys; else an error when it runs.
+
+    Both sides meet in one grouping by key, so each is computed once; null keys are keys.
+    """
+    own = {s: [c for c in d.columns if c not in keys] for s, d in (("left", left), ("right", right))}
+    side = lambda d, s: d.select(*keys, *[F.struct(F.lit(1).alias("mark_"), *own[s]).alias(f"{s}_") if n == s else F.lit(None).alias(f"{n}_") for n in ("left", "right")])
+    both = side(left, "left").unionByName(side(right, "right")).groupBy(*keys).agg(*[f for s in ("left", "right") for f in (F.count(f"{s}_").alias(f"n_{s}"), F.first(f"{s}_", ignorenulls=True).alias(f"{s}_"))])
     text = F.concat(F.lit("keys differ: "), F.to_json(F.struct(*keys)))
     good = F.when((F.col("n_left") == 1) & (F.col("n_right") == 1), True).otherwise(F.raise_error(text).cast("boolean"))
-    checked = sides.select(*keys, good.alias("good_")).where("good_").drop("good_")
-    return checked.join(left, list(keys)).join(right, list(keys))
+    return both.where(good).select(*keys, *[F.col(f"{s}_.{c}").alias(c) for s in ("left", "right") for c in own[s]])
 
 
 def consistency(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
