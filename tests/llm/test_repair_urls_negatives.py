@@ -102,6 +102,22 @@ def test_long_conversations_in_blocks(spark, options):
         assert hashlib.sha256("\n".join(lines.get(r["conv_id"], [])).encode()).hexdigest() == r["repaired_sha256"]
 
 
+def test_paths_over_blocks_are_those_over_turns():
+    draw = random.Random(13)
+    for n in (0, 1, 5, 40, 120):
+        turns = [(draw.choice("uasx"), draw.random() < 0.15, draw.random() < 0.3) for _ in range(n)]
+        cut = [turns[k : k + 3] for k in range(0, n, 3)]
+        blocks = [{(a, b): path[:2] for a in range(4) for b in range(4) for path in repair._reach(part, a, b)} for part in cut]
+        cost, audit, states = repair.through(blocks)
+        assert (cost, audit) == repair.cheapest(turns)[:2] and len(states) == len(cut) + 1
+
+
+def test_many_blocks_take_time_in_proportion():
+    block = {(a, b): path[:2] for a in range(4) for b in range(4) for path in repair._reach([("u", False, False), ("a", False, True)] * 50, a, b)}
+    cost, audit, _ = repair.through([block] * 20_000)  # two million turns
+    assert (cost, len(audit)) == (1_000_000, 2_000_000)
+
+
 def test_damage(spark):
     rows = [(c, t, "assistant", "One. Two! Three?") for c in (None, 1, 2) for t in (None, *range(40))] + [(3, 1, None, None)]
     expected = {}

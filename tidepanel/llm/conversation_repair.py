@@ -92,24 +92,56 @@ def cheapest(turns: list[Turn], start: int = EMPTY, ends: tuple[int, ...] = ACCE
     raise RuntimeError("no path: every turn can be deleted, so this can't be")
 
 
+class Trail:
+    """A path over blocks: its cost, and its audit as a chain of the blocks' audits.
+
+    Trails are compared by (cost, audit).  Two audits differ after the part that both
+    chains share, which is the same object, so only what follows it is looked at.
+    """
+
+    __slots__ = ("cost", "i", "state", "before", "chunk")
+
+    def __init__(self, cost: int, i: int, state: int, before: Trail | None, chunk: str) -> None:
+        self.cost, self.i, self.state, self.before, self.chunk = cost, i, state, before, chunk
+
+    def __lt__(self, other: Trail) -> bool:
+        if self.cost != other.cost:
+            return self.cost < other.cost
+        a, b, own, others = self, other, [], []
+        while a is not b:
+            up_a, up_b = a.i >= b.i, b.i >= a.i
+            if up_a:
+                own.append(a.chunk)
+                a = a.before
+            if up_b:
+                others.append(b.chunk)
+                b = b.before
+        return "".join(reversed(own)) < "".join(reversed(others))
+
+    def chain(self) -> list[Trail]:
+        """The trail's steps from the beginning."""
+        steps, at = [], self
+        while at is not None:
+            steps.append(at)
+            at = at.before
+        return steps[::-1]
+
+
 def through(blocks: list[dict[tuple[int, int], tuple[int, str]]]) -> tuple[int, str, list[int]]:
     """(cost, audit, states before and after each block) of the cheapest path over blocks of best paths."""
-    heap, done, n = [(0, "", 0, EMPTY, (EMPTY, None))], set(), len(blocks)
+    heap, done, n = [Trail(0, 0, EMPTY, None, "")], set(), len(blocks)
     while heap:
-        cost, audit, i, state, path = heapq.heappop(heap)
-        if (i, state) in done:
+        best = heapq.heappop(heap)
+        if (best.i, best.state) in done:
             continue
-        if i == n and state in ACCEPTING:
-            states = []
-            while path:
-                states.append(path[0])
-                path = path[1]
-            return cost, audit, states[::-1]
-        done.add((i, state))
-        if i < n:
-            for (a, b), (c, more) in blocks[i].items():
-                if a == state and (i + 1, b) not in done:
-                    heapq.heappush(heap, (cost + c, audit + more, i + 1, b, (b, path)))
+        if best.i == n and best.state in ACCEPTING:
+            steps = best.chain()
+            return best.cost, "".join(t.chunk for t in steps), [t.state for t in steps]
+        done.add((best.i, best.state))
+        if best.i < n:
+            for (a, b), (c, more) in blocks[best.i].items():
+                if a == best.state and (best.i + 1, b) not in done:
+                    heapq.heappush(heap, Trail(best.cost + c, best.i + 1, b, best, more))
     raise RuntimeError("no path over blocks")
 
 
