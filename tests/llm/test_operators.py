@@ -7,8 +7,10 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 from cases import frame
+from pyspark.sql import functions as F
 from tidepanel.llm import decontaminate, license_scan, line_dedup, near_dedup, pieces, quality_rules, sentencepiece_lattice, substring_dedup, suffix_array_dedup, suffix_groups, token_counts, warc
 
 
@@ -24,7 +26,8 @@ def test_near_duplicates_are_all_linked(docs, rows):
     assert got(kept, "doc_id") == sorted([(r[0],) for r in brute.near(rows) if r[3]], key=repr)
 
 
-def test_near_duplicates_across_components_of_a_bucket(spark):
+@pytest.mark.parametrize("crowd", [0, 1 << 16])
+def test_near_duplicates_across_components_of_a_bucket(spark, crowd):
     draw = random.Random(3)
     base = [f"v{k}" for k in range(200)]
     rows = []
@@ -32,7 +35,36 @@ def test_near_duplicates_across_components_of_a_bucket(spark):
         own = base[:]
         own[k * 3 : k * 3 + 6] = [f"c{k}{j}" for j in range(6)]
         rows.append((1000 - k, " ".join(own + draw.choices(base, k=k % 5))))
-    assert got(near_dedup.components(frame(spark, rows)), "doc_id", "component_id") == sorted([(r[0], r[2]) for r in brute.near(rows)], key=repr)
+    assert got(near_dedup.components(frame(spark, rows), crowd), "doc_id", "component_id") == sorted([(r[0], r[2]) for r in brute.near(rows)], key=repr)
+
+
+def text_sets(spark, sets):
+    """Sets of whole numbers as near_dedup holds them, each its own component."""
+    rows = [(i, np.sort(np.array(list(s), np.uint64)).tobytes()) for i, s in sets]
+    return spark.createDataFrame([(i, i) for i, _ in rows], "node long, root long"), spark.createDataFrame(rows, "node long, set binary")
+
+
+@pytest.mark.parametrize("crowd", [0, 20, 1 << 16])
+def test_linked_sets_meet_at_a_prefix_key(spark, crowd):
+    draw = random.Random(11)
+    sets = []
+    for i in range(240):  # few shingles and many near pairs, with sizes from one on
+        base = list(range(i % 6 * 20, i % 6 * 20 + draw.randint(1, 40)))
+        sets.append((i, {draw.randrange(200) if draw.random() < 0.12 else k for k in base}))
+    linked = {(i, j) for i, a in sets for j, b in sets if i < j and 100 * len(a & b) >= 75 * len(a | b)}
+    found = {tuple(r) for r in near_dedup._across(near_dedup.prefix_keys(*text_sets(spark, sets), crowd)).collect()}
+    assert len(linked) > 100 and linked <= found
+
+
+def test_sets_with_a_common_passage_are_not_all_compared(spark):
+    def looked_at(n):
+        sets = [(i, set(range(120)) | set(range(1000 + 80 * i, 1080 + 80 * i))) for i in range(n)]
+        keys = near_dedup.prefix_keys(*text_sets(spark, sets))
+        per = keys.groupBy("key").agg(F.count_if(F.expr("root <> major")).alias("x"), F.count("*").alias("y"))
+        return per.agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
+
+    few, many = looked_at(400), looked_at(1600)
+    assert many <= 4 * max(few, 400)
 
 
 @pytest.mark.parametrize("options", [{}, {"hot": 2}, {"bloom": 0}, {"hot": 2, "bloom": 0}])

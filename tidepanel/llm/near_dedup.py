@@ -20,9 +20,12 @@ nothing.  Two texts are linked if 100 * intersection >= 75 * union.
    most nodes there are paired with ``PIVOTS`` nodes of it that a hash picks, other ones each
    round, linear again; links merge components, until a round finds few.  A large group of near
    copies becomes one component here.
-7. What is then left in other components than most of its bucket is compared with the whole
-   bucket; pairs pass the sketches and a prefix filter, which is exact, before they are verified.
-   Pairs within a component add nothing and are never formed.
+7. What is then left in buckets with several components is joined by prefix shingles: with the
+   shingles of every set in one order, rare ones first, linked sets of n and m shingles share one
+   of their first n - ceil(0.75 n) + 1 and m - ceil(0.75 m) + 1.  A shingle that would make too many
+   pairs is replaced by what it makes with each later one of the first n - ceil(0.75 n) + 2, of which
+   linked sets share two.  Both are exact.  Pairs pass the sketches before they are verified; of
+   those within a component, which add nothing, none in the component with most sets is formed.
 
 Every step is a Spark join or aggregate; tables that are used again are written to
 the shared folder.
@@ -57,9 +60,10 @@ BITS = 512
 LEAST = 75
 ERRORS = 4.5
 #: Counts that order shingles for the last step: a fixed table, whatever the corpus.
-CELLS = 1 << 16
-#: Shingles that go along to the last step, at least.
-WHOLE = 256
+CELLS = 1 << 18
+#: A shingle with more pairs to look at than this is joined with a second one.  It decides how many pairs the last
+#: step looks at, not what is found.
+CROWD = 1 << 16
 #: Nodes of a bucket that a round pairs with others; rounds end when fewer than one in ``FEW`` pairs is linked, or
 #: after ``ROUNDS``.  They decide how much the last, exact step has to do, not what is found.
 PIVOTS, FEW, ROUNDS = 2, 50, 8
@@ -168,7 +172,7 @@ def _close(x: str, y: str) -> Column:
     return F.expr("(" + " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)) + f") <= {most_bits()}")
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     base = kept(as_documents(docs).mapInArrow(_signed, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sketch array<long>"), "signatures")
     known = base.where("doc_id IS NOT NULL AND n_shingles > 0")
@@ -192,7 +196,8 @@ def components(docs: DataFrame) -> DataFrame:
     tested = verified(stars, sets)
     held = wanted.join(groups(tested.where("linked")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     held, tested, mixed = _merged(members.select("bucket", "node"), sets, sketches, tested, kept(held, "held"))
-    across = kept(_across(mixed, sets, signed.select(F.col("doc_id").alias("node"), "sketch", "bands")).join(tested, ["a", "b"], "left_anti"), "across")
+    across = _across(prefix_keys(mixed.select("node", "root").distinct(), sets, crowd))
+    across = kept(_plausible(across.join(tested, ["a", "b"], "left_anti"), sketches), "across")
     if not across.isEmpty():
         held = _lifted(held, verified(across, sets))
 
@@ -246,45 +251,63 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.where(_close("x", "y") & F.expr(f"100 * least(n, m) >= {LEAST} * greatest(n, m)")).select("a", "b")
 
 
-def _across(mixed: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that can be linked, of mixed(bucket, node, root, major).
+def prefix_keys(nodes: DataFrame, sets: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """key, node, root, n, rest and major: where sets of nodes(node, root) have to meet to be linked.
 
-    Of every pair in a bucket one node at least is outside the component that has most nodes
-    there; only such nodes look for others.
-
-    Prefix filtering: in one fixed order of all shingles, what two sets share outside their
-    first p and q shingles is a last part of what they share, so at most max(n - p, m - q); the
-    first ones must have the rest of what near sets share in common.  ``WHOLE`` shingles go along
-    at least, so that shorter sets are compared in full.  The order puts shingles of few sets first (by a
-    table of ``CELLS`` counts), so that long sets which share a common passage, but not enough
-    else, have little in common up front.
-    Odd sketches are compared first, and a pair is formed in its first bucket alone;
-    marks(node, sketch, bands) has what both need.
+    A key is a shingle of the prefix, or a crowded one with a later one of the prefix that is
+    longer by one.  The sets that meet at a key share at most rest shingles from there on, the
+    smaller rest of both; at the first shingle that linked sets share, or the first two, rest is at least
+    what they must share in all.  Keys of one component are left out; major is the component
+    with most sets at a key.  A set gives at most a quarter of its shingles, or of the pairs
+    of those where they are crowded.
     """
-    rows = sets.join(mixed.select("node").distinct(), "node", "left_semi").select("node", "set")
-    table = np.zeros(CELLS, np.int64)
-    for cell, n in rows.select("set").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect():
-        table[cell] = n
+    rows = sets.join(nodes, "node").select("node", "root", "set")
+    order = np.zeros(CELLS, np.int64)
+    cells = rows.select("set").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    order[cells["cell"].to_numpy()] = cells["n"].to_numpy()
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, probes = [], []
+            size, heads = [], []
             for one in batch["set"].to_pylist():
                 own = np.frombuffer(one, np.uint64)
                 n = len(own)
                 size.append(n)
-                probes.append(own[np.lexsort((own, table[(own % np.uint64(CELLS)).astype(np.int64)]))[: max(WHOLE, n - -(-LEAST * n // 100) + 1)]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(size, pa.int64()), pa.array(probes, pa.list_(pa.int64()))], ["node", "n", "probe"])
-
-    probes = rows.mapInArrow(firsts, "node long, n long, probe array<long>").join(marks, "node")
-    found = mixed.join(probes, "node")
-    x, y = found.where("root <> major").alias("x"), found.alias("y")
-    # Of two such nodes the greater looks for the smaller.
-    sized = F.expr(f"x.bucket = y.bucket AND x.root <> y.root AND (y.root = y.major OR y.node < x.node) AND 100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n)")
-    once = F.expr("array_position(zip_with(x.bands, y.bands, (a, b) -> a = b), true) = array_position(x.bands, x.bucket)")
-    overlap = F.expr(f"size(array_intersect(x.probe, y.probe)) >= ceil({LEAST} * (x.n + y.n) / {100 + LEAST}D - 1e-9) - greatest(x.n - size(x.probe), y.n - size(y.probe))")
-    near = sized & _close("x.sketch", "y.sketch") & once & overlap
-    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+                heads.append(own[np.lexsort((own, order[(own % np.uint64(CELLS)).astype(np.int64)]))[: n - -(-LEAST * n // 100) + 2]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["root"], pa.array(size, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["node", "root", "n", "head"])
+
+    heads = kept(rows.mapInArrow(firsts, "node long, root long, n long, head array<long>").withColumn("row", F.xxhash64("node", "head")), "heads")
+    prefix = heads.select("row", "node", "root", "n", F.posexplode(F.expr(f"slice(head, 1, CAST(n - ({LEAST} * n + 99) DIV 100 + 1 AS INT))")).alias("at", "key"))
+    single = kept(_meeting(prefix.withColumn("rest", F.expr("n - at"))), "keys")
+    crowded = single.where(F.col("pairs") > crowd).select("row", "at", F.col("key").alias("first"))
+    longer = crowded.join(heads, "row").select(
+        "row", "node", "root", "n", "first", F.posexplode(F.expr("IF(n = 1, head, slice(head, at + 2, size(head)))")).alias("on", "second"), "at"
+    )
+    double = longer.select("row", "at", "node", "root", "n", F.xxhash64("first", "second").alias("key"), F.expr("IF(n = 1, 1L, n - at - on)").alias("rest"))
+    both = single.where(F.col("pairs") <= crowd).unionByName(_meeting(double))
+    return kept(both.select("key", "node", "root", "n", "rest", "major"), "meeting")
+
+
+def _meeting(places: DataFrame) -> DataFrame:
+    """places whose key has several roots, with the key's major root and its number of pairs to look at."""
+    ends = places.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key")
+    places = places.join(ends, "key", "left_semi")
+    of = places.groupBy("key", "root").agg(F.count("*").alias("c"))
+    of = of.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("top"))
+    of = of.select("key", F.col("top.root").alias("major"), F.expr("(all - top.c) * all").alias("pairs"))
+    return places.join(of, "key").select("row", "at", "key", "node", "root", "n", "rest", "major", "pairs")
+
+
+def _across(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that can be linked, of the keys where they meet.
+
+    Of every pair at a key one node at least is outside the component that has most nodes
+    there; only such nodes look for others, and of two of them the greater looks for the smaller.
+    """
+    x, y = keys.where("root <> major").alias("x"), keys.alias("y")
+    sized = f"100 * least(x.n, y.n) >= {LEAST} * greatest(x.n, y.n) AND {100 + LEAST} * least(x.rest, y.rest) >= {LEAST} * (x.n + y.n)"
+    met = F.expr(f"x.key = y.key AND x.root <> y.root AND (y.root = y.major OR y.node < x.node) AND {sized}")
+    return x.join(y, met).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
