@@ -283,6 +283,25 @@ def standard_table(rows: DataFrame, filtered: DataFrame) -> DataFrame:
     return one.unionByName(whole)
 
 
+def standard_rows(complete_rows: DataFrame, filtered: DataFrame, scales: DataFrame, limits: DataFrame) -> DataFrame:
+    """Metrics with MASE and its eligible rows by filter, method and metric.
+
+    Metric -1 is the mean of the four, with the least number of eligible rows; metric -2, of the
+    method ``__filter_metadata__``, has the filter's limits of the four metrics in place of mae, rmse, wape and smape.
+    """
+    by = ["filter", "method", "metric"]
+    long = lambda d, name: d.select(F.lit(name).alias("filter"), "method", "cell", "origin_h", F.posexplode(F.arrays_zip("y", "p")).alias("metric", "e")).select(*by, "cell", "origin_h", "e.y", "e.p")
+    rows = _seen(long(complete_rows, "complete").unionByName(long(filtered, "official"))).join(scales, ["cell", "origin_h", "metric"], "left")
+    one = indicator_metrics(rows, by).join(rows.groupBy(*by).agg(F.count_if(F.col("mase_scale") > TINY).alias("mase_n")), by)
+    whole = one.groupBy("filter", "method").agg(F.lit(-1).alias("metric"), F.max("n").alias("n"), *[F.avg(c).alias(c) for c in ("mae", "rmse", "wape", "smape", "mase")], F.min("mase_n").alias("mase_n"))
+    kept = filtered.groupBy("method").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("n"))
+    low = limits.crossJoin(kept).select(
+        F.lit("official").alias("filter"), F.lit("__filter_metadata__").alias("method"), F.lit(-2).alias("metric"), "n",
+        *[F.get("low", F.lit(k)).alias(c) for k, c in enumerate(("mae", "rmse", "wape", "smape"))], F.lit(None).cast("double").alias("mase"), F.lit(0).cast("long").alias("mase_n"),
+    )
+    return one.unionByName(whole).unionByName(low)
+
+
 def horizon_hours(targets: DataFrame) -> DataFrame:
     """Distinct pairs of horizon (from 0) and hour of day, and whether the two are always equal, hence not to be told apart."""
     pairs = targets.select((F.col("hz") - 1).alias("horizon"), F.pmod("h", F.lit(24)).alias("hour")).distinct()
