@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import stored
 from ..operators import evidence, influence, metrics, panel, routing
 from .study import BASE, Study, query, rounded
 from .survey_queries import _MASE, _WAPE, _again, _mask, _without
@@ -16,7 +17,8 @@ _RHO = "round(CASE WHEN count(*) > 1 AND stddev_pop(rx) > 0 AND stddev_pop(ry) >
 
 def _effects(s: Study) -> DataFrame:
     rows = s.routed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6)))).where(F.get("a", F.col("k")))
-    return routing.deletion_effects(rows, F.col("k")).select("deleted", F.round("weight", 9).alias("weight"), F.round("change", 9).alias("change"))
+    rows = routing.deletion_effects(rows, F.col("k")).select("deleted", F.round("weight", 9).alias("weight"), F.round("change", 9).alias("change"))
+    return stored(rows, "effects")
 
 
 @query(f""", {_EFFECTS.format(by='deleted', rows='x')}
