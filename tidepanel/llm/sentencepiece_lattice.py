@@ -16,6 +16,8 @@ lattice has an edge for each of its substrings that is a piece.  Encoding:
 5. cuts go back to the chunks that asked for them, again as blocks, and in each chunk the
    words of its texts are replaced by their ids.
 
+Inside a task texts, words and ids are Arrow arrays; only unknown characters, words beyond
+``KEY`` characters and texts with doubled or leading spaces are taken one by one.
 Texts are shuffled once, words once each way.  There are ``SPREAD`` partitions of words for
 each of texts, because a word has tens of edges, which one task sorts.
 
@@ -44,6 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import as_documents, partitions, table
 from .pieces import MARK, MODEL, Pieces, load
+from .text_arrays import text_bytes
 
 _SPACED = re.compile(f"{MARK}+[^{MARK}]*")
 #: Edges that one inner fold takes; characters of a long word that one row holds, in two steps.
@@ -53,9 +56,10 @@ STRETCH = (16_384, 128)
 SPREAD = 4
 #: Words of more characters travel beside a digest of theirs, which is their key.
 KEY = 32
-#: Bytes of rows that go into blocks together, and distinct words that a task holds before it hands them on.
+#: Bytes of rows that go into blocks together, of parts of texts that a task holds before it hands their words on, and of texts that are filled together.
 BLOCK_BYTES = 32 << 20
-HELD = 1_000_000
+HELD = 64 << 20
+FILLED = 8 << 20
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -101,26 +105,42 @@ def best_cuts(words: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.select(*own, F.expr(fold).alias("ids"))
 
 
-def split(spaced: list[str], pairs: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The words of strings, in order, and the index of each string's first one, with their number at the end."""
-    if not spaced:
-        return [], np.zeros(1, np.int64)
-    text = "".join(spaced)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    size = np.fromiter(map(len, spaced), np.int64, len(spaced))
-    begin = np.cumsum(size) - size
+def beside(pairs: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from code points to whether each but the last may stand before the next one in a piece."""
+    left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    number = np.zeros((2, 0x110000), np.int32)  # from 1, of each code point that stands on a side in a pair
+    for side, points in enumerate((left, right)):
+        number[side, points] = np.unique(points, return_inverse=True)[1] + 1
+    met = np.zeros((number[0].max() + 1, number[1].max() + 1), bool)
+    met[number[0][left], number[1][right]] = True
+    bits = np.packbits(met, axis=1, bitorder="little")
+
+    def of(points: np.ndarray) -> np.ndarray:
+        one, two = number[0][points[:-1]], number[1][points[1:]]
+        return (bits[one, two >> 3] >> (two & 7).astype(np.uint8)) & 1 > 0
+
+    return of
+
+
+def split(parts: pa.Array, together: Callable[[np.ndarray], np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The words of parts with U+2581 in front, in order, and the index of each part's first one, with their number at the end."""
+    data, offsets = text_bytes(pa.compute.binary_join_element_wise(MARK, parts, ""))
+    head = np.flatnonzero(data & 0xC0 != 0x80)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     cut = np.ones(len(points), bool)
-    if len(pairs):
-        two = (points[:-1] << np.uint64(32)) | points[1:]
-        cut[1:] = pairs[np.minimum(np.searchsorted(pairs, two), len(pairs) - 1)] != two
+    cut[1:] = ~together(points)
+    begin = np.searchsorted(head, offsets[:-1])
     cut[begin] = True
     at = np.flatnonzero(cut)
-    ends = at.tolist() + [len(text)]
-    return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.append(np.searchsorted(at, begin), len(at))
+    ends = pa.array(np.append(head[at], len(data)), pa.int32())
+    return pa.StringArray.from_buffers(len(at), ends.buffers()[1], pa.py_buffer(data.tobytes())), np.append(np.searchsorted(at, begin), len(at))
 
 
-def _key(word: str) -> str:
-    return word if len(word) <= KEY else "#" + hashlib.md5(word.encode()).hexdigest()
+def _keys(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The key of each word, and the word where it is not its own key, else null."""
+    long = pa.compute.greater(pa.compute.utf8_length(words), KEY)
+    digests = pa.array(["#" + hashlib.md5(w.encode()).hexdigest() for w in words.filter(long).to_pylist()], pa.string())
+    return pa.compute.replace_with_mask(words, long, digests), pa.compute.replace_with_mask(words, pa.compute.invert(long), pa.scalar(None, pa.string()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,61 +174,78 @@ def _rows(block: bytes) -> pa.Table:
     return pa.ipc.open_stream(block).read_all()
 
 
-def _spaced(text: str | None) -> list[str]:
-    """The text's parts at spaces, each without its first U+2581; further ones stay in front."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " " or MARK in text:
-        return [s[1:] for s in _SPACED.findall(MARK + text.replace(" ", MARK))]
-    return text.split(" ")
+def _spaced(texts: pa.Array) -> pa.ListArray:
+    """Each text's parts at spaces, without their first U+2581; further ones stay in front.  None of a null or empty text."""
+    texts, c = texts.fill_null(""), pa.compute
+    parts = c.split_pattern(texts, " ")
+    odd = np.flatnonzero(c.or_(c.or_(c.equal(texts, ""), c.starts_with(texts, " ")), c.or_(c.match_substring(texts, "  "), c.match_substring(texts, MARK))).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return parts
+    own = [[s[1:] for s in _SPACED.findall(MARK + t.replace(" ", MARK))] if t else [] for t in texts.take(pa.array(odd)).to_pylist()]
+    at = np.arange(len(texts))
+    at[odd] = len(texts) + np.arange(len(odd))
+    return pa.concat_arrays([parts, pa.array(own, parts.type)]).take(pa.array(at))
 
 
 def _words(pairs: np.ndarray):
     """(chunk, key, word) of the distinct words of chunks; word is null where it is the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, set[str]] = {}
+        together = beside(pairs)
+        own: dict[int, list[pa.Array]] = {}
+        held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for chunk, words in own.items():
-                some = list(words)
-                for part in (some[k : k + 10_000] for k in range(0, len(some), 10_000)):
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(map(_key, part), pa.string()), pa.array([w if len(w) > KEY else None for w in part], pa.string())], ["chunk", "key", "word"])
+            for chunk, parts in own.items():
+                words = split(pa.chunked_array(parts, pa.string()).unique(), together)[0].unique()
+                for part in (words.slice(k, 10_000) for k in range(0, len(words), 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk), pa.int32()), *_keys(part)], ["chunk", "key", "word"])
             own.clear()
 
         for batch in batches:
             for chunk, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                spaced: set[str] = set()
-                for text in _rows(block)["text"].to_pylist():
-                    spaced.update(_spaced(text))
-                own.setdefault(chunk, set()).update(split([MARK + s for s in spaced], pairs)[0])
-                if sum(map(len, own.values())) > HELD:
+                parts = _spaced(_rows(block)["text"].combine_chunks()).flatten().unique()
+                own.setdefault(chunk, []).append(parts)
+                held += parts.nbytes
+                if held > HELD:
                     yield from out()
+                    held = 0
         yield from out()
 
     return run
 
 
-def _taken(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of lists number at, one after the other, and how many of each; ends: where lists begin, and the end."""
-    size = ends[at + 1] - ends[at]
-    place = np.repeat(ends[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return values[place], size
+def _filled_together(blocks: list[bytes]) -> Iterator[pa.Table]:
+    """The rows of blocks, some at a time."""
+    waiting: list[pa.Table] = []
+    for block in blocks:
+        waiting.append(_rows(block))
+        if sum(t["text"].nbytes for t in waiting) >= FILLED:
+            yield pa.concat_tables(waiting).combine_chunks()
+            waiting = []
+    if waiting:
+        yield pa.concat_tables(waiting).combine_chunks()
+
 
+def _joined(lists: pa.ListArray, ends: pa.Array | np.ndarray) -> pa.ListArray:
+    """The lists one after the other, as longer lists that end before those of these numbers."""
+    places = np.append(0, np.cumsum(pa.compute.list_value_length(lists).to_numpy()))
+    return pa.ListArray.from_arrays(pa.array(places[np.asarray(ends)], pa.int32()), lists.flatten())
 
-def _with_bytes(ids: pa.ListArray, byte: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Values and ends of lists of ids, with bytes' pieces in place of negative code points."""
+
+def _with_bytes(ids: pa.ListArray, byte: tuple[int, ...]) -> pa.ListArray:
+    """Lists of ids, with bytes' pieces in place of negative code points."""
     values, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()
     unknown = np.flatnonzero(values < 0)
     if not len(unknown):
-        return values, ends
+        return ids
     raw = [chr(-i).encode() for i in values[unknown].tolist()]
     size = np.ones(len(values), np.int64)
     size[unknown] = [len(b) for b in raw]
     begin = np.append(0, np.cumsum(size))
     values = np.repeat(values, size)
     values[np.concatenate([np.arange(begin[i], begin[i + 1]) for i in unknown])] = [byte[b] for one in raw for b in one]
-    return values, begin[ends]
+    return pa.ListArray.from_arrays(pa.array(begin[ends], pa.int32()), pa.array(values, pa.int32()))
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then: Callable[[pa.Table], pa.Table] | None = None, columns: str = "doc_id long, text string, ids array<int>") -> DataFrame:
@@ -226,24 +263,16 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then:
 
     def filled(texts: pa.Table, cuts: pa.Table) -> pa.Table:
         known = pa.concat_tables([_rows(block) for block in cuts["block"].to_pylist()] or [pa.table({"key": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})]).combine_chunks()
-        key, cut = known["key"].combine_chunks(), _with_bytes(known["ids"].combine_chunks(), byte)
-        number: dict[str, int] = {}  # of each part of a text
-        ids, ends = np.zeros(0, np.int32), np.zeros(1, np.int64)  # those of all parts, one after the other
+        key, cut, together = known["key"].combine_chunks(), _with_bytes(known["ids"].combine_chunks(), byte), beside(pairs)
         out = []
-        for block in texts["block"].to_pylist():
-            rows = _rows(block)
-            found = [_spaced(text) for text in rows["text"].to_pylist()]
-            new = list(set().union(*found) - number.keys())
-            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
-            words, first = split([MARK + s for s in new], pairs)
-            at = pa.compute.index_in(pa.array(map(_key, words), pa.string()), value_set=key)
-            more, size = _taken(*cut, at.to_numpy(zero_copy_only=False).astype(np.int64))
-            ids, ends = np.concatenate([ids, more]), np.concatenate([ends, ends[-1] + np.append(0, np.cumsum(size))[first[1:]]])
-            offsets, flat = [0], []
-            for parts in found:
-                flat.append(_taken(ids, ends, np.fromiter(map(number.__getitem__, parts), np.int64, len(parts)))[0])
-                offsets.append(offsets[-1] + len(flat[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else ids[:0]))
+        for rows in _filled_together(texts["block"].to_pylist()):
+            parts = _spaced(rows["text"].combine_chunks())
+            each = parts.flatten().dictionary_encode()
+            words, first = split(each.dictionary, together)
+            at = pa.compute.index_in(_keys(words)[0], value_set=key)
+            if at.null_count:
+                raise RuntimeError("a word has no cut")
+            lists = _joined(_joined(cut.take(at), first).take(each.indices), parts.offsets)
             one = pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "ids": lists})
             out.append(then(one) if then else one)
         return pa.concat_tables(out).combine_chunks()
@@ -251,11 +280,17 @@ def encode(docs: DataFrame, model: str = MODEL, chunks: int | None = None, then:
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(filled, columns)
 
 
-def decoder(pieces: Pieces):
-    """A function from ids to text."""
+def raw_pieces(pieces: Pieces) -> list[bytes]:
+    """The bytes that each id stands for."""
     raw = [t.replace(MARK, " ").encode() for t in pieces.text]
     for b, i in enumerate(pieces.byte):
         raw[i] = bytes([b])
+    return raw
+
+
+def decoder(pieces: Pieces):
+    """A function from ids to text."""
+    raw = raw_pieces(pieces)
 
     def decode(ids) -> str:
         text = b"".join([raw[i] for i in ids or ()]).decode(errors="replace")
@@ -276,21 +311,26 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(texts, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids, and whether decoding gives the text back, of every row; taken where the ids are made."""
-    pieces = load(model)
-    back, digits = decoder(pieces), list(map(str, range(len(pieces.text))))
+def digested(pieces: Pieces) -> Callable[[pa.Table], pa.Table]:
+    """A function from doc_id, text and ids to what ``digests`` gives for them."""
+    back, raw, digits = decoder(pieces), pa.array(raw_pieces(pieces), pa.binary()), pa.array(map(str, range(len(pieces.text))), pa.string())
 
     def of(encoded: pa.Table) -> pa.Table:
-        n, sha, same = [], [], []
-        for one, text in zip(encoded["ids"].combine_chunks(), encoded["text"].combine_chunks(), strict=True):
-            ids = one.values.to_numpy().tolist()
-            n.append(len(ids))
-            sha.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
-            same.append(back(ids) == (text.as_py() or "").replace(MARK, " "))
-        return pa.table({"doc_id": encoded["doc_id"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())})
-
-    return encode(docs, model, then=of, columns="doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
+        ids, texts, c = encoded["ids"].combine_chunks(), encoded["text"].combine_chunks().fill_null(""), pa.compute
+        told = lambda each, between: c.binary_join(pa.ListArray.from_arrays(ids.offsets, each.take(ids.values)), between)
+        sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in told(digits, ",")]
+        wanted = c.replace_substring(texts, MARK, " ")
+        same = c.equal(told(raw, b""), c.binary_join_element_wise(" ", wanted, "").cast(pa.binary())).to_numpy(zero_copy_only=False).copy()
+        for i in np.flatnonzero(~same):  # an empty text has no space in front; nothing else should come here
+            same[i] = back(ids[i].as_py()) == wanted[i].as_py()
+        return pa.table({"doc_id": encoded["doc_id"], "n_tokens": c.list_value_length(ids).cast(pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "round_trip": pa.array(same, pa.bool_())})
+
+    return of
+
+
+def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """doc_id, n_tokens, SHA-256 of the ids, and whether decoding gives the text back, of every row; taken where the ids are made."""
+    return encode(docs, model, then=digested(load(model)), columns="doc_id long, n_tokens long, ids_sha256 string, round_trip boolean")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
