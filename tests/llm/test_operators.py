@@ -77,6 +77,27 @@ def test_byte_repeats(docs, rows, options):
     assert got(suffix_array_dedup.dedup(docs, **options), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.byte_repeats(rows), key=repr)
 
 
+def test_anchors_with_very_many_rows_are_split(spark, monkeypatch):
+    seen, levels = [], suffix_array_dedup.levels
+
+    def seeing(rows, hot):
+        seen.append(rows)
+        for parts, cuts in levels(rows, hot):
+            seen.append(cuts)
+            yield parts, cuts
+
+    monkeypatch.setattr(suffix_array_dedup, "levels", seeing)
+    draw = random.Random(10)
+    some = lambda n: "".join(draw.choices("abcdefgh é", k=n))
+    passage, ends = some(280), [some(200) for _ in range(40)]
+    rows = [(i, some(draw.randrange(60, 250)) + passage + draw.choice(ends)[: draw.randrange(60, 201)]) for i in range(300)]
+    found = got(suffix_array_dedup.dedup(frame(spark, rows).repartition(3), hot=5), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == sorted(brute.byte_repeats(rows), key=repr)
+    assert 0 < sum(r[2] > 0 for r in found) < len(rows)
+    whole, *split = [x.groupBy("anchor").count().agg(F.max("count")).first()[0] for x in seen]
+    assert whole > 100 and len(split) > 1 and max(split) <= 5
+
+
 def test_suffix_arrays_sort_suffixes():
     import numpy as np
 
